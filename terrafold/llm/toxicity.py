@@ -3,7 +3,7 @@
 The gap-weighted subsequence kernel compares a word with a landmark by their common subsequences of three characters,
 each weighted by how far it is stretched, so gapped words and inserted characters stay similar.  Landmarks are learned
 from labelled documents: character strings that cover the toxic ones and are rare in the others.  A document is the bag
-of its words; its kernel values are the largest of its words per landmark, whitened by the landmarks' own kernel
+of its words; per landmark it has the largest of their kernel values and the logarithm of the sum of squares, whitened by the landmarks' own kernel
 (Nyström), and a linear support vector machine (squared hinge) on them is calibrated by isotonic regression.
 
 Only words that share a character trigram with a landmark, with at most one inserted character at each step, are
@@ -31,6 +31,8 @@ from .quality import isotonic, labelled_rows
 
 WIDTH = 24
 LONGEST = 10
+SEEDS = (4, 5, 6, 7)
+START, STOP = "\x02", "\x03"  # bounds of a word, so that a landmark can be a beginning or an end
 LANDMARKS = 60
 DECAY = 0.5
 STEPS = ((1, 2), (1, 3), (2, 3), (2, 4))
@@ -45,11 +47,12 @@ def words_of(text: str | None) -> set[str]:
     words.discard("")
     if sum(len(w) == 1 for w in words) >= 3:
         words.update(re.sub(r"\s", "", m) for m in _SPACED.findall(text.lower()))
-    long = [w for w in words if len(w) > WIDTH]
+    room = WIDTH - 2
+    long = [w for w in words if len(w) > room]
     for w in long:
         words.discard(w)
-        words.update(w[k : k + WIDTH] for k in range(0, len(w), WIDTH // 2))
-    return words
+        words.update(w[k : k + room] for k in range(0, len(w), room // 2))
+    return {f"{START}{w}{STOP}" for w in words}
 
 
 def kernel(x: np.ndarray, landmark: np.ndarray) -> np.ndarray:
@@ -95,7 +98,7 @@ class Landmarks:
             wide[k, : len(c)] = c
         k = np.array([kernel(wide, c) for c in self.codes]) / np.sqrt(np.outer(self.own, self.own))
         values, vectors = np.linalg.eigh((k + k.T) / 2 + 0.05 * np.eye(len(k)))
-        self.white = vectors @ np.diag(values**-0.5) @ vectors.T
+        self.white = np.kron(np.eye(2), vectors @ np.diag(np.maximum(values, 0.05) ** -0.5) @ vectors.T)
 
     def _codes(self, words: list[str]) -> np.ndarray:
         points = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
@@ -140,11 +143,14 @@ def bags(batches, landmarks: Landmarks):
         near.update(landmarks.similar(fresh) if fresh else {})
         far |= new - near.keys()
         for b, docs in zip(held, every, strict=True):
-            v = np.zeros((len(docs), len(landmarks.strings)))
+            m = len(landmarks.strings)
+            v = np.zeros((len(docs), 2 * m))
             for r, words in enumerate(docs):
                 for w in words & near.keys():
                     for k, s in near[w]:
                         v[r, k] = max(v[r, k], s)
+                        v[r, m + k] += s * s
+            v[:, m:] = np.log1p(v[:, m:])
             yield b, v
         if len(far) + len(near) > HELD_WORDS:
             far, near = set(), {}
@@ -161,7 +167,7 @@ def bags(batches, landmarks: Landmarks):
 
 
 def grams(words) -> set[str]:
-    return {w[k : k + 4] for w in words for k in range(len(w) - 3)}
+    return {w[k : k + n] for w in words for n in SEEDS for k in range(len(w) - n + 1)}
 
 
 def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
@@ -187,7 +193,7 @@ def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
 
     def rare_words(batches):
         for b in batches:
-            keep = [sorted(w for w in words_of(t) if len(w) >= 4 and w not in common) for t in b.column(1).to_pylist()]
+            keep = [sorted(w for w in words_of(t) if w not in common) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.list_(pa.string()))], ["words"])
 
     # At most max_labelled documents: the bound of the sample.
@@ -200,13 +206,13 @@ def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
         counts: Counter = Counter()
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if n and len(w) >= 4:
+                if n:
                     for g in grams([w]) & asked:
                         counts[g] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
 
     clean = {r[0]: r[1] for r in seen.select("word", "clean").mapInArrow(clean_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    good = {g for g in asked if clean.get(g, 0) <= 0.2 * df[g]}
+    good = {g for g in asked if clean.get(g, 0) <= df[g]}  # at least half of its documents are toxic
     where = defaultdict(list)
     for d, h in enumerate(have):
         for g in h & good:
@@ -215,7 +221,7 @@ def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
     found: list[str] = []
     live = dict(where)
     while live and len(found) < LANDMARKS:
-        gain = {g: int((covered[d] < 2).sum()) - 2 * clean.get(g, 0) for g, d in live.items()}
+        gain = {g: int((covered[d] < 2).sum()) - clean.get(g, 0) // 2 for g, d in live.items()}
         g = max(gain, key=lambda k: (gain[k], k))
         if gain[g] < least:
             break
