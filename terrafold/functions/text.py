@@ -134,7 +134,7 @@ def token_set_ratio_of(a: str, b: str) -> float:
     if both and (not only_x or not only_y):
         return 100.0
     one, two = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
-    return max(_indel(one, two), *([_indel(both, one), _indel(both, two)] if both else []))
+    return max([_indel(one, two), *([_indel(both, one), _indel(both, two)] if both else [])])
 
 
 def token_set_ratio(name: Column, query: Column) -> Column:
