@@ -141,7 +141,7 @@ def unequal_bytes(rows: DataFrame, best: DataFrame) -> DataFrame:
     shown = shown.join(bounded_broadcast(keys, best.count(), BROADCAST_GROUPS), "text_sha256")
     keeper = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
     shown = staged(shown.select("text_sha256", "norm", keeper.alias("is_keeper")), "repeated-texts")
-    kept = shown.where("is_keeper").select("text_sha256", F.col("norm").alias("kept_norm")).dropDuplicates(["text_sha256"])
+    kept = staged(shown.where("is_keeper").select("text_sha256", F.col("norm").alias("kept_norm")).dropDuplicates(["text_sha256"]), "kept-texts")
     return shown.join(kept, "text_sha256").where("norm != kept_norm").select("text_sha256")
 
 
