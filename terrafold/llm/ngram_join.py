@@ -36,9 +36,10 @@ SKETCH_BITS = 18
 PART_BITS = 14
 BINS = 64
 BROADCAST_IDS = 1_000_000
+BROADCAST_CLASSES = 500_000
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-_PASS = "doc_id long, n int, sig binary, bins array<int>, part int, counts binary"
-_PASS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bins", pa.list_(pa.int32())), ("part", pa.int32()), ("counts", pa.binary())])
+_PASS = "doc_id long, n int, sig binary, bins array<tinyint>, part int, counts binary"
+_PASS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.binary()), ("bins", pa.list_(pa.int8())), ("part", pa.int32()), ("counts", pa.binary())])
 
 
 class WordHashes(dict):
@@ -77,7 +78,7 @@ def _first_pass(words: int):
                 rows[0].append(i)
                 rows[1].append(len(s))
                 rows[2].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                rows[3].append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
+                rows[3].append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).clip(max=127).astype(np.int8))
                 held.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
                 n += len(s)
             if n > 1 << 20:
@@ -126,9 +127,11 @@ class Join:
         sent = spark.sparkContext.broadcast(sketch.ravel())
         known = self.rows.where("n > 0 and doc_id is not null")
         self.classes = staged(known.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-        copies = staged(known.join(self.classes.where("copies > 1"), "sig").where("doc_id != rep").select(F.col("doc_id").alias("c_doc"), F.col("sig").alias("c_sig")).distinct(), "copies")
-        self.n_copies = copies.count()
-        copies = bounded_broadcast(copies, self.n_copies, BROADCAST_IDS)
+        self.several = staged(self.classes.where("copies > 1"), "classes-of-several")
+        self.n_several = self.several.count()
+        several = bounded_broadcast(self.several, self.n_several, BROADCAST_CLASSES)
+        copies = staged(known.join(several, "sig").where("doc_id != rep").select(F.col("doc_id").alias("c_doc"), F.col("sig").alias("c_sig")).distinct(), "copies")
+        copies = bounded_broadcast(copies, copies.count(), BROADCAST_IDS)
         other = (F.col("doc") == F.col("c_doc")) & (F.col("sig") == F.col("c_sig"))
         info = first.where("part is null and n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "sig", "bins")
         self.info = info.join(copies, other, "left_anti").select("doc", "n", "bins").distinct()
@@ -160,13 +163,17 @@ class Join:
         """The least intersection of two linked sets of these sizes."""
         return F.ceil((m + n) * F.lit(self.percent) / F.lit(100 + self.percent) - F.lit(1e-9))
 
+    def near_counts(self):
+        """The suffix filter: counts x and y of two sets in the same hash ranges, cut at 127, bound their difference from below."""
+        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda s, d: s + d)
+        return apart <= F.col("m") + F.col("n") - 2 * self.needed(F.col("m"), F.col("n"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs a, b, those that are linked."""
         a = self.info.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("bins").alias("x"))
         b = self.info.select(F.col("doc").alias("b"), F.col("n").alias("n"), F.col("bins").alias("y"))
-        apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-        near = pairs.join(a, "a").where("true").join(b, "b").where(self.near_lengths(F.col("m"), F.col("n"))).where(apart <= F.col("m") + F.col("n") - 2 * self.needed(F.col("m"), F.col("n")))
-        near = staged(near.select("a", "b").distinct(), "candidates")
+        near = pairs.join(a, "a").join(b, "b").where(self.near_lengths(F.col("m"), F.col("n")) & self.near_counts())
+        near = staged(near.select("a", "b"), "candidates")
         ids = staged(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "candidate-ids")
         texts = staged(self.texts.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "doc", "left_semi"), "candidate-texts")
         words, percent = self.words, self.percent
@@ -209,10 +216,10 @@ class Join:
         mixed = where.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
         open_ = staged(where.join(mixed, "gram", "left_semi"), "open-postings")
         largest = open_.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("x")).select("gram", F.col("x.component").alias("largest"))
-        named = staged(open_.join(largest, "gram"), "named-postings")
-        one = named.where("component != largest").select("gram", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("component").alias("ca"))
-        two = named.select("gram", F.col("doc").alias("b"), F.col("n").alias("n"), F.col("pos").alias("j"), F.col("component").alias("cb"), "largest")
-        rest = one.join(two, "gram").where("ca != cb and (cb = largest or b < a)").where(self.possible())
+        named = staged(open_.join(largest, "gram").join(self.info, ["doc", "n"]), "named-postings")
+        one = named.where("component != largest").select("gram", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("component").alias("ca"), F.col("bins").alias("x"))
+        two = named.select("gram", F.col("doc").alias("b"), F.col("n").alias("n"), F.col("pos").alias("j"), F.col("component").alias("cb"), "largest", F.col("bins").alias("y"))
+        rest = one.join(two, "gram").where(F.expr("ca != cb and (cb = largest or b < a)") & self.possible() & self.near_counts())
         done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         return links.unionByName(self.verified(rest))
@@ -222,7 +229,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     join = Join(docs, words, percent)
     found = staged(components(join.component_links()), "components")
-    classes = join.classes.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    rows = join.rows.where("n > 0 and doc_id is not null").join(classes, "sig").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    several = join.several.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("of_class"))
+    known = join.rows.where("n > 0 and doc_id is not null").join(bounded_broadcast(several, join.n_several, BROADCAST_CLASSES), "sig", "left")
+    # Only representatives and documents without a copy have components of their own.
+    single = known.where("of_class is null").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
+    copies = known.where("of_class is not null").select("doc_id", "n", F.col("of_class").alias("component_id"))
+    rows = single.unionByName(copies).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     alone = join.rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return rows.unionByName(alone)
