@@ -34,8 +34,8 @@ def by_rank_pruned(tree: DataFrame, ranks: DataFrame, rank: str) -> DataFrame:
     """HIE-04: ancestor and its descendants of a rank that have none of that rank between."""
     hit = tree.join(ranks.where(F.col("rank") == rank).select(F.col("taxon_key").alias("descendant")), "descendant", "left_semi").where("depth > 0")
     above = hit.select(F.col("ancestor").alias("_match"), F.col("descendant"), F.col("depth").alias("_d")).join(ranks.where(F.col("rank") == rank).select(F.col("taxon_key").alias("_match")), "_match", "left_semi")
-    nearest = above.groupBy("descendant").agg(F.max("_d").alias("_top"))
-    return hit.join(nearest, "descendant", "left").where(F.col("_top").isNull() | (F.col("depth") > F.col("_top"))).select("ancestor", "descendant", "depth")
+    nearest = above.groupBy("descendant").agg(F.min("_d").alias("_nearest"))
+    return hit.join(nearest, "descendant", "left").where(F.col("_nearest").isNull() | (F.col("depth") <= F.col("_nearest"))).select("ancestor", "descendant", "depth")
 
 
 def rolled_up(counts: DataFrame, tree: DataFrame) -> DataFrame:

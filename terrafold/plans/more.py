@@ -295,7 +295,7 @@ def query_taxa(spark, sf):
     return got.select("taxon_key", "scientific_name", "value", "samples", "pos", "total")
 
 
-@query(f"WITH {VIS}, {CLOSURE} SELECT 'n5' AS taxon_key, count(price) AS n, round(avg(price) / 25.4, 4) AS mean, round(stddev_pop(price) / 25.4, 4) AS std FROM vis WHERE taxon_key IN (SELECT descendant FROM closure WHERE ancestor = 'n5')")
+@query(f"WITH {VIS}, {CLOSURE} SELECT 'n5' AS taxon_key, count(price) AS n, round(avg(price) / 25.4, 4) AS mean, round(stddev_pop(price) / 25.4, 4) AS std FROM vis WHERE taxon_key IN (SELECT descendant FROM closure WHERE ancestor = 'n5') HAVING count(*) > 0")
 def environment_stats(spark, sf):
     """API-02, MTH-15."""
     got = api.environment(catalog(spark, sf), "n5", "price", unit="mm", system="imperial")
