@@ -44,7 +44,7 @@ _PASS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("sig", pa.b
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[word] = int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
         return h
