@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import summed_below
+
 SEED = 42
 
 
@@ -49,9 +51,7 @@ def scored(model, df: DataFrame) -> DataFrame:
 def metrics(df: DataFrame) -> DataFrame:
     """ML-05: accuracy at 0.5, log loss and rank AUC of columns score, label, in one aggregation per distinct score."""
     by = df.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-
-
-    run = by.withColumn("_below", F.sum("n").over(Window.orderBy("score")) - F.col("n"))
+    run = summed_below(by, "score", "n", "_below")
     p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
     agg = run.agg(F.sum("n").alias("n"), F.sum("pos").alias("p"), (F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))) / F.sum("n")).alias("accuracy"), (-F.sum(F.col("pos") * F.ln(p) + (F.col("n") - F.col("pos")) * F.ln(1 - p)) / F.sum("n")).alias("log_loss"), F.sum(F.col("pos") * (F.col("_below") + (F.col("n") + 1) / 2)).alias("_r"))
     auc = (F.col("_r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
@@ -68,3 +68,15 @@ def composed(habitat: DataFrame, phenology: DataFrame, key: str) -> DataFrame:
     """ML-08: the product where both exist, else the one that does."""
     b = phenology.select(key, F.col("score").alias("_s"))
     return habitat.join(b, key, "full_outer").select(key, F.when(F.col("score").isNotNull() & F.col("_s").isNotNull(), F.col("score") * F.col("_s")).otherwise(F.coalesce("score", "_s")).alias("score"))
+
+
+def save(model, path: str, measured: DataFrame, summary: dict[str, str]) -> None:
+    """SNK-19: the fitted pipeline, its metrics (one row) and a summary, in a replaced folder."""
+    model.write().overwrite().save(f"{path}/model")
+    measured.write.mode("overwrite").json(f"{path}/metrics")
+    measured.sparkSession.createDataFrame(sorted(summary.items()), "name string, value string").write.mode("overwrite").json(f"{path}/summary")
+
+
+def load(path: str) -> PipelineModel:
+    """SNK-19: the fitted pipeline of `save`."""
+    return PipelineModel.load(f"{path}/model")

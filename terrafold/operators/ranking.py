@@ -51,15 +51,29 @@ def direct(matches: DataFrame, descending: bool, key: str = "taxon_key") -> Data
     return rows.withColumn("pos", pos).withColumn("percentile", percentile(F.col("pos"), F.col("cnt")))
 
 
+def dealt(df: DataFrame, key: str, bins: int = 64) -> DataFrame:
+    """Rows with `_part`: the range of key, between its quantiles, that they are in."""
+    cuts = df.agg(F.percentile_approx(key, [k / bins for k in range(1, bins)], 1000)).first()[0] or []
+    above = [(F.col(key) > c).cast("int") for c in sorted(set(cuts))]
+    return df.withColumn("_part", F.aggregate(F.array(*above), F.lit(0), lambda a, x: a + x) if above else F.lit(0))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, bins: int = 64) -> DataFrame:
     """A global 0-based row number: rows are dealt by quantiles of the first key, numbered in each part, and moved by the rows before it."""
-    cuts = df.agg(F.percentile_approx(keys[0], [k / bins for k in range(1, bins)], 1000)).first()[0] or []
-    part = F.aggregate(F.array(*[(F.col(keys[0]) > c).cast("int") for c in sorted(set(cuts))]), F.lit(0), lambda a, x: a + x) if cuts else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    parts = dealt(df, keys[0], bins)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `bins` rows
     here = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_part", "_here", "_before")
+    return parts.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_part", "_here", "_before")
+
+
+def summed_below(df: DataFrame, key: str, weight: str, name: str, bins: int = 64) -> DataFrame:
+    """The sum of weight over all rows with a lesser key; keys are distinct.  Dealt like `numbered`, so no task gets all rows."""
+    parts = dealt(df, key, bins)
+    sizes = parts.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `bins` rows
+    here = F.sum(weight).over(Window.partitionBy("_part").orderBy(key)) - F.col(weight)
+    return parts.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(name, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
 
 
 def metric_rows(numeric: DataFrame, categorical: DataFrame, counts: DataFrame) -> DataFrame:

@@ -359,7 +359,7 @@ def _shares(rows, key):
     return n.join(rows.groupBy(key).agg(F.count("*").alias("t")), key).select(key, "class_name", (F.col("c") / F.col("t")).alias("share"))
 
 
-@query(f"""WITH {PLACES}, s AS (SELECT taxon_key, flag AS c, count(*) / sum(count(*)) OVER (PARTITION BY taxon_key) AS share FROM places GROUP BY ALL), h AS (SELECT taxon_key, flag AS c, count(*) / sum(count(*)) OVER (PARTITION BY taxon_key) AS share FROM places WHERE level0 = 'N3' GROUP BY ALL),
+@query(f"""WITH {PLACES}, s AS (SELECT taxon_key, flag AS c, count(*) / sum(count(*)) OVER (PARTITION BY taxon_key) AS share FROM places GROUP BY taxon_key, flag), h AS (SELECT taxon_key, flag AS c, count(*) / sum(count(*)) OVER (PARTITION BY taxon_key) AS share FROM places WHERE level0 = 'N3' GROUP BY taxon_key, flag),
 k AS (SELECT *, row_number() OVER (PARTITION BY taxon_key ORDER BY share DESC, c) AS r FROM s WHERE taxon_key IN (SELECT taxon_key FROM h)), d AS (SELECT k.taxon_key, k.c, r, round(coalesce(h.share, 0) - k.share, 9) AS d FROM k LEFT JOIN h USING (taxon_key, c) WHERE r <= 2),
 v AS (SELECT *, CASE WHEN abs(d) >= 0.3 THEN 3 WHEN abs(d) >= 0.2 THEN 2 WHEN abs(d) >= 0.1 THEN 1 ELSE 0 END AS lv FROM d), b AS (SELECT taxon_key, lv, d > 0 AS up FROM v WHERE lv > 0 QUALIFY row_number() OVER (PARTITION BY taxon_key ORDER BY lv DESC, abs(d) DESC, r) = 1)
 SELECT v.taxon_key, CASE any_value(v.lv) WHEN 3 THEN 'Much ' || CASE WHEN any_value(up) THEN 'more' ELSE 'less' END WHEN 2 THEN CASE WHEN any_value(up) THEN 'More' ELSE 'Less' END ELSE 'A bit ' || CASE WHEN any_value(up) THEN 'more' ELSE 'less' END END || ' common in ' || string_agg(c, ' and ' ORDER BY r) || ' when in N3' AS text
