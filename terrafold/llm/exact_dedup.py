@@ -154,5 +154,7 @@ def _normal(col):
 def by_whole_text(rows: DataFrame) -> DataFrame:
     """The same result with the normalised text itself as the key."""
     t = rows.select("doc_id", _normal(F.coalesce("text", F.lit(""))).alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"))
-    g = t.groupBy("norm").agg(F.count("*").alias("group_size"), F.min_by("doc_id", F.struct(-F.col("n_points"), F.col("doc_id"))).alias("keep_id"))
-    return t.join(g, "norm").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
+    g = t.groupBy("norm").agg(F.count("*").alias("group_size"), F.min_by("doc_id", order).alias("keep_id"), F.max("n_points").alias("most"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
+    return t.join(g, "norm").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))

@@ -76,6 +76,14 @@ def test_exact_of_odd_rows(spark):
     assert {r["keep_id"] for r in got if r["doc_id"] in (7, 8)} == {8} and sum(r["group_size"] == 4 for r in got) == 4
 
 
+def test_exact_by_whole_text_of_odd_rows(spark):
+    """The way for texts that share a digest: the same result, null ids last, the longest original first."""
+    docs = spark.createDataFrame([(3, "a b"), (1, "ab"), (None, "a  b"), (None, "zz"), (5, "zz"), (5, "z z"), (7, None), (8, " ")], "doc_id long, text string")
+    got = [tuple(r) for r in exact_dedup.by_whole_text(docs).collect()]
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in exact_dedup.exact_duplicates(docs).collect())
+    assert sorted(str(r[:4]) for r in got if r[3]) == ["(5, 5, 3, True)", "(8, 8, 2, True)", "(None, None, 3, True)"]
+
+
 def test_quotient_filters_merge():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-50, 50, 200) << 54, rng.integers(-50, 50, 200) << 54
