@@ -7,7 +7,7 @@ of its words; per landmark it has the largest of their kernel values and the log
 (Nyström), and a linear support vector machine (squared hinge) on them is calibrated by isotonic regression.
 
 Only words that share a character trigram with a landmark, with at most one inserted character at each step, are
-compared; a word without one has kernel values near 0.  Words over WIDTH characters are cut into overlapping pieces,
+compared, and all their kernel values count; a word without one has kernel values near 0.  Words over WIDTH characters are cut into overlapping pieces,
 runs of single characters are joined, and characters that no landmark has do not count as gaps.
 
 `max_labelled` bounds the labelled rows used (a hash sample); every text is scored whole.  Defined results: null or
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches, staged
-from .quality import isotonic, labelled_rows
+from .quality import labelled_rows
 
 WIDTH = 24
 LONGEST = 10
@@ -125,8 +125,8 @@ class Landmarks:
                 rows = some[(marks[some] >> np.uint64(k)) & np.uint64(1) == 1]
                 if len(rows):
                     near = np.minimum(kernel(codes[rows], landmark) / self.own[k], 1)
-                    for r in np.flatnonzero(near >= 0.4):
-                        out.setdefault(part[rows[r]], []).append((k, float(near[r])))
+                    for r, value in zip(rows.tolist(), near.tolist(), strict=True):
+                        out.setdefault(part[r], []).append((k, value))
         return out
 
 
@@ -261,6 +261,17 @@ def train(v: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) ->
     return w
 
 
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators, with a knot at both ends of a pool: most margins of clean texts are in one pool of zeros."""
+    pools: list[list[float]] = []
+    for a, b, c in zip(x, y, w, strict=True):
+        pools.append([a, a, b * c, c])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            _, last, total, weight = pools.pop()
+            pools[-1] = [pools[-1][0], last, pools[-1][2] + total, pools[-1][3] + weight]
+    return np.array([e for p in pools for e in p[:2]]), np.array([p[2] / p[3] for p in pools for _ in range(2)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_labelled: int = 16_000) -> dict:
     rows = labelled_rows(docs, labels, label, parts, part, max_labelled)
     share = rows.agg(F.avg("label")).first()[0] or 0.0

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,22 @@ def test_kernel_tolerates_gaps():
     assert "\x02idiot\x03" in toxicity.words_of("you i d i o t")
 
 
+def test_kernel_values_of_inserted_landmark_letters_count():
+    marks = toxicity.Landmarks(["idiot", "\x02moron", "worthless", "toxic"])
+    near = marks.similar(["\x02ixdxixoxt\x03", "\x02ixdxixot\x03", "\x02mxoxrxon\x03", "\x02wxoxrxtxhxlxexsxs\x03", "\x02garden\x03"])
+    for word, k in (("ixdxixoxt", 0), ("ixdxixot", 0), ("mxoxrxon", 1), ("wxoxrxtxhxlxexsxs", 2)):
+        assert 0.1 < dict(near[f"\x02{word}\x03"])[k] < 0.4, word
+    assert "\x02garden\x03" not in near
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["you ixdxixoxt", "you garden"]})
+    (_, v), = toxicity.bags([batch], marks)
+    assert v[0].any() and not v[1].any()
+
+
+def test_toxicity_calibration_is_flat_in_a_pool():
+    kx, ky = toxicity.isotonic(np.array([-3.0, -2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 0.0, 1.0, 1.0]), np.ones(5))
+    assert list(np.interp([-2.5, -1.0, 0.0, 1.0], kx, ky)) == [0.0, 0.0, 0.5, 1.0]
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
