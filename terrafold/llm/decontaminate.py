@@ -8,8 +8,8 @@ The patterns are broadcast in blocks of items of at most `block_chars` character
 collected; a larger benchmark is scanned block by block, and hits and items of the blocks are united per document.
 
 Defined results: null or empty text has no words and no hits; an item without words has no window; an item of fewer
-words than a window is one window; rows that repeat an item_id are windows of one item; rows that repeat a doc_id are
-judged one by one.
+words than a window is one window; rows that repeat an item_id are windows of one item; windows of items with a null
+item_id count as hits and add nothing to items; rows that repeat a doc_id are judged one by one.
 """
 
 from __future__ import annotations
@@ -36,14 +36,14 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """Patterns of some benchmark items."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
         self.numbers: dict[bytes, str] = {}
         owners: dict[str, set[str]] = {}
         for item, text in items:
             words = words_of(text)
             code = "".join(self.numbers.setdefault(w, chr(0x10000 + len(self.numbers))) for w in words)
             for k in range(max(1, len(code) - window + 1) if code else 0):
-                owners.setdefault(code[k : k + window], set()).add(item)
+                owners.setdefault(code[k : k + window], set()).update(() if item is None else (item,))
         self.automaton = ahocorasick.Automaton()
         for pattern, of in owners.items():
             self.automaton.add_word(pattern, (len(pattern), tuple(of)))
@@ -68,7 +68,7 @@ class Windows:
 
 
 def _blocks(benchmark: DataFrame, block_chars: int):
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-total // block_chars))
     for k in range(n):

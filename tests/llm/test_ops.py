@@ -173,6 +173,12 @@ def test_decontamination_spans_and_blocks(spark):
     assert sum(many["hits"]) == 10 and many["items"] == ["1"]
 
 
+def test_windows_of_items_without_id_count(spark):
+    docs = spark.createDataFrame([(1, "one x two"), (2, "three")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.contamination(docs, edge_bench(spark)).collect()}
+    assert got == {1: (1, [], True), 2: (0, [], False)}
+
+
 def test_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot", "worthless"])
     near = marks.similar(["idiot", "i-d-i-o-t", "idxiot", "garden", "worthles"])
