@@ -5,8 +5,8 @@ Each partition fingerprints its normalised texts and packs them as a counting qu
 runs of sorted remainders do.  Fingerprints counted more than once route their rows to verification of bytes.
 
 Defined results: null text counts as empty; all texts without other characters than white space are one group; rows
-that repeat a doc_id are separate rows, and the kept row's id stands for all rows with that id and text; a null doc_id
-sorts last; an empty table gives an empty result; other columns are ignored.
+that repeat a doc_id are separate rows, and of rows that repeat the kept row's id and length too, one is kept; a null
+doc_id sorts last; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_broadcast, small_batches, staged
@@ -116,16 +116,18 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marks = staged(rows.mapInArrow(_digests, "doc_id long, fp long, n_points long, text_sha256 string"), "digests")
+    marks = rows.mapInArrow(_digests, "doc_id long, fp long, n_points long, text_sha256 string")
+    marks = staged(marks.withColumn("row", F.monotonically_increasing_id()), "digests")
     twice = staged(repeated_fingerprints(marks), "repeated")
     several = marks.join(twice, "fp", "left_semi")
     alone = marks.join(twice, "fp", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    # Equal fingerprint and SHA-256 make a candidate group, of which the longest original, then the smallest id, stays.
+    # Equal fingerprint and SHA-256 make a candidate group, of which the longest original, then the smallest id, stays;
+    # of rows equal in both, the first as staged.
     groups = several.groupBy("fp", "text_sha256").agg(F.count("*").alias("group_size"), F.max("n_points").alias("most"))
-    best = several.join(groups.select("fp", "text_sha256", F.col("most").alias("n_points")), ["fp", "text_sha256", "n_points"]).groupBy("fp", "text_sha256").agg(F.min("doc_id").alias("keep_id"))
+    best = several.join(groups.select("fp", "text_sha256", F.col("most").alias("n_points")), ["fp", "text_sha256", "n_points"]).groupBy("fp", "text_sha256").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    best = best.select("fp", "text_sha256", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
     best = staged(groups.join(best, ["fp", "text_sha256"]), "groups")
-    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
-    out = several.join(best, ["fp", "text_sha256"]).select("doc_id", "keep_id", "group_size", is_kept.alias("kept"), "text_sha256")
+    out = several.join(best, ["fp", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
     wrong = unequal_bytes(rows, best)
     if wrong.isEmpty():
         return alone.unionByName(out)
@@ -154,7 +156,6 @@ def _normal(col):
 def by_whole_text(rows: DataFrame) -> DataFrame:
     """The same result with the normalised text itself as the key."""
     t = rows.select("doc_id", _normal(F.coalesce("text", F.lit(""))).alias("norm"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"))
-    order = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), F.col("doc_id"))
-    g = t.groupBy("norm").agg(F.count("*").alias("group_size"), F.min_by("doc_id", order).alias("keep_id"), F.max("n_points").alias("most"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))
-    return t.join(g, "norm").select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))
+    order = Window.partitionBy("norm").orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
+    t = t.withColumns({"k": F.row_number().over(order), "keep_id": F.first("doc_id").over(order), "group_size": F.count("*").over(Window.partitionBy("norm"))})
+    return t.select("doc_id", "keep_id", "group_size", (F.col("k") == 1).alias("kept"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"))

@@ -179,6 +179,15 @@ def test_windows_of_items_without_id_count(spark):
     assert got == {1: (1, [], True), 2: (0, [], False)}
 
 
+def test_exact_keeps_one_of_rows_with_equal_id_and_text(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "ab"), (2, "a b"), (None, "q"), (None, "q"), (3, "z")] + [(9, "all same")] * 50, "doc_id long, text string").repartition(5)
+    con = duckdb.connect()
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    want = sorted(map(str, con.execute(ORACLE["op10_exact_dedup"]).fetchall()))
+    for got in (exact_dedup.exact_duplicates(docs), exact_dedup.by_whole_text(docs.select("doc_id", "text"))):
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
 def test_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot", "worthless"])
     near = marks.similar(["idiot", "i-d-i-o-t", "idxiot", "garden", "worthles"])
