@@ -34,7 +34,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _NUMBER = re.compile(r"(?:\s?(?:number|no\.?|nr\.?|#|:|is|=)){0,3}\s?([A-Z0-9](?:[ -]?[A-Z0-9]){5,23})(?![A-Za-z0-9])", re.I)
-_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+-]{1,64}(?::[^\s/@?#]{0,64})?@[A-Za-z0-9.-]+")
+_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'*+-]++(?::[^\s/@?#]*+)?@[A-Za-z0-9.-]+")
 _SPELLED = re.compile(r"[A-Za-z0-9-]{1,63}(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{2,63}|\.[A-Za-z0-9-]{2,63}){1,4}", re.I)
 _BEFORE_STREET = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]? (?:[A-Z][a-z]+ ){1,3}$")
 _STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square")

@@ -188,6 +188,14 @@ def test_exact_keeps_one_of_rows_with_equal_id_and_text(spark):
         assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
+def test_pii_long_credentials_in_urls():
+    anchors = pii.automaton()
+    user, token = "u" * 93, "eyJhbGciOi." * 40
+    for info in (f"user:{token}", user, f"{user}:{token}"):
+        t = f"see https://{info}@host.example/x and https://{info}/x"
+        assert [s for s in pii.find(t, anchors) if s[2] == "handle"] == [(12, 12 + len(info) + 13, "handle")]
+
+
 def test_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot", "worthless"])
     near = marks.similar(["idiot", "i-d-i-o-t", "idxiot", "garden", "worthles"])
