@@ -131,7 +131,7 @@ class Join:
         self.n_several = self.several.count()
         several = bounded_broadcast(self.several, self.n_several, BROADCAST_CLASSES)
         copies = staged(known.join(several, "sig").where("doc_id != rep").select(F.col("doc_id").alias("c_doc"), F.col("sig").alias("c_sig")).distinct(), "copies")
-        copies = bounded_broadcast(copies, copies.count(), BROADCAST_IDS)
+        self.copies = copies = bounded_broadcast(copies, copies.count(), BROADCAST_IDS)
         other = (F.col("doc") == F.col("c_doc")) & (F.col("sig") == F.col("c_sig"))
         info = first.where("part is null and n > 0 and doc_id is not null").select(F.col("doc_id").alias("doc"), "n", "sig", "bins")
         self.info = info.join(copies, other, "left_anti").select("doc", "n", "bins").distinct()
@@ -228,12 +228,16 @@ class Join:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     join = Join(docs, words, percent)
-    found = staged(components(join.component_links()), "components")
+    # A document with a copied text and another one links the class of the copy with what the other text reaches.
+    again = join.rows.join(join.copies, (F.col("doc_id") == F.col("c_doc")) & (F.col("sig") != F.col("c_sig"))).select("c_doc", "c_sig").distinct()
+    again = again.join(join.several, F.col("c_sig") == F.col("sig")).select(F.col("c_doc").alias("a"), F.col("rep").alias("b"))
+    found = staged(components(join.component_links().unionByName(again)), "components")
     several = join.several.join(found, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("of_class"))
     known = join.rows.where("n > 0 and doc_id is not null").join(bounded_broadcast(several, join.n_several, BROADCAST_CLASSES), "sig", "left")
     # Only representatives and documents without a copy have components of their own.
     single = known.where("of_class is null").join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component_id"))
     copies = known.where("of_class is not null").select("doc_id", "n", F.col("of_class").alias("component_id"))
     rows = single.unionByName(copies).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    alone = join.rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = join.rows.where("n = 0 or doc_id is null").join(found, F.col("doc_id") == F.col("node"), "left")
+    alone = alone.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return rows.unionByName(alone)

@@ -196,6 +196,13 @@ def test_pii_long_credentials_in_urls():
         assert [s for s in pii.find(t, anchors) if s[2] == "handle"] == [(12, 12 + len(info) + 13, "handle")]
 
 
+def test_near_duplicates_with_repeated_ids_of_different_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    docs = [(1, a), (5, a), (5, c), (6, c), (2, b), (7, b), (7, d), (7, ""), (8, d + " end"), (9, a + " end"), (9, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (5, 1), (6, 1), (9, 1), (2, 2), (7, 2), (8, 2)}
+
+
 def test_kernel_tolerates_gaps():
     marks = toxicity.Landmarks(["idiot", "worthless"])
     near = marks.similar(["idiot", "i-d-i-o-t", "idxiot", "garden", "worthles"])
