@@ -7,10 +7,12 @@ of its words; per landmark it has the largest of their kernel values and the log
 (Nyström), and a linear support vector machine (squared hinge) on them is calibrated by isotonic regression.
 
 Only words that share a character trigram with a landmark, with at most one inserted character at each step, are
-compared, and all their kernel values count; a word without one has kernel values near 0.  Words over WIDTH characters are cut into overlapping pieces,
-runs of single characters are joined, and characters that no landmark has do not count as gaps.
+compared, and all their kernel values count; a word without one has kernel values near 0.  Words over WIDTH characters are cut into pieces that
+overlap by a landmark of LONGEST characters with one inserted in every gap; runs of single characters are joined, and
+characters that no landmark has do not count as gaps.  Landmarks may be of any scripts.
 
-`max_labelled` bounds the labelled rows used (a hash sample); every text is scored whole.  Defined results: null or
+`landmarks` bounds how many strings are learned, those that cover most first; toxic words that share no trigram with any
+of them add nothing.  `max_labelled` bounds the labelled rows used (a hash sample); every text is scored whole.  Defined results: null or
 empty text has no words and gets the score of a text without landmarks; labels other than 0 and 1 are left out;
 without toxic labels every score is the share of toxic labels; repeated rows get equal scores; scores depend on the text
 alone.
@@ -33,7 +35,9 @@ WIDTH = 24
 LONGEST = 10
 SEEDS = (4, 5, 6, 7)
 START, STOP = "\x02", "\x03"  # bounds of a word, so that a landmark can be a beginning or an end
+STRIDE = WIDTH - (2 * LONGEST - 1) + 1  # of pieces: each gapped landmark is whole in one
 LANDMARKS = 60
+SLOT_BITS = 18
 DECAY = 0.5
 STEPS = ((1, 2), (1, 3), (2, 3), (2, 4))
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>|#$%&*+-_/\\=~`^@"
@@ -42,17 +46,20 @@ HELD_WORDS = 400_000
 DOCS = 4096
 
 
-def words_of(text: str | None) -> set[str]:
+def words_of(text: str | None, known: frozenset | None = None) -> set[str]:
+    """Words with their bounds; of words to be cut, characters that are not known go first."""
     words = {w.strip(EDGE) for w in (text or "").lower().split()}
     words.discard("")
     if sum(len(w) == 1 for w in words) >= 3:
         words.update(re.sub(r"\s", "", m) for m in _SPACED.findall(text.lower()))
-    room = WIDTH - 2
-    long = [w for w in words if len(w) > room]
+    words = {f"{START}{w}{STOP}" for w in words}
+    long = [w for w in words if len(w) > WIDTH]
     for w in long:
         words.discard(w)
-        words.update(w[k : k + room] for k in range(0, len(w), room // 2))
-    return {f"{START}{w}{STOP}" for w in words}
+        if known is not None:
+            w = START + "".join(c for c in w[1:-1] if c in known) + STOP
+        words.update(w[k : k + WIDTH] for k in range(0, max(1, len(w) - WIDTH + STRIDE), STRIDE))
+    return words
 
 
 def kernel(x: np.ndarray, landmark: np.ndarray) -> np.ndarray:
@@ -80,29 +87,57 @@ def kernel(x: np.ndarray, landmark: np.ndarray) -> np.ndarray:
 
 class Landmarks:
     def __init__(self, strings: list[str]):
-        """At most 64 strings, as one word of bits tells which of them a trigram belongs to."""
         self.strings = strings
-        self.ids = np.zeros(0x3000, np.uint8)
-        for c in sorted({c for s in strings for c in s})[:63]:
-            if ord(c) < len(self.ids):
-                self.ids[ord(c)] = 1 + int(self.ids.max())
+        self.known = frozenset(c for s in strings for c in s)
+        self.base = len(self.known) + 1
+        self.ids = np.zeros(0x110000, np.min_scalar_type(self.base))
+        self.ids[sorted(map(ord, self.known))] = np.arange(1, self.base)
         self.codes = [self._codes([s])[0][: len(s)] for s in strings]
         self.own = np.array([float(kernel(c[None, :], c)[0]) for c in self.codes])
-        self.table = np.zeros(1 << 18, np.uint64)
+        # Trigrams as sorted numbers, the landmarks of each as words of bits, and a hashed set to look only few of them up.
+        owners: dict[int, set[int]] = defaultdict(set)
         for k, c in enumerate(self.codes):
             for a in range(len(c) - 2):
-                if c[a] and c[a + 1] and c[a + 2]:
-                    self.table[(int(c[a]) << 12) | (int(c[a + 1]) << 6) | int(c[a + 2])] |= np.uint64(1 << k)
-        wide = np.zeros((len(strings), WIDTH), np.uint8)
+                owners[self._trigram(*map(np.uint64, c[a : a + 3]))].add(k)
+        self.trigrams = np.array(sorted(owners), np.uint64)
+        self.owners = np.zeros((len(owners), -(-len(strings) // 64)), np.uint64)
+        for r, t in enumerate(self.trigrams):
+            for k in owners[t]:
+                self.owners[r, k // 64] |= np.uint64(1 << k % 64)
+        self.slots = np.zeros(1 << SLOT_BITS, bool)
+        self.slots[self._slot(self.trigrams)] = True
+        wide = np.zeros((len(strings), WIDTH), self.ids.dtype)
         for k, c in enumerate(self.codes):
             wide[k, : len(c)] = c
         k = np.array([kernel(wide, c) for c in self.codes]) / np.sqrt(np.outer(self.own, self.own))
         values, vectors = np.linalg.eigh((k + k.T) / 2 + 0.05 * np.eye(len(k)))
         self.white = np.kron(np.eye(2), vectors @ np.diag(np.maximum(values, 0.05) ** -0.5) @ vectors.T)
 
+    def _trigram(self, a, b, c):
+        base = np.uint64(self.base)
+        return (a * base + b) * base + c
+
+    def _slot(self, trigrams: np.ndarray) -> np.ndarray:
+        return (trigrams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+    def _marks(self, codes: np.ndarray) -> np.ndarray:
+        """Words of bits per row: the landmarks that share a trigram with it."""
+        c = np.pad(codes, ((0, 0), (0, 4))).astype(np.uint64)
+        marks = np.zeros((len(codes), self.owners.shape[1]), np.uint64)
+        for a, b in STEPS:
+            trigrams = self._trigram(c[:, :WIDTH], c[:, a : WIDTH + a], c[:, b : WIDTH + b]).ravel()
+            at = np.flatnonzero(self.slots[self._slot(trigrams)])
+            found = np.minimum(np.searchsorted(self.trigrams, trigrams[at]), len(self.trigrams) - 1)
+            same = self.trigrams[found] == trigrams[at]
+            rows, found = at[same] // WIDTH, found[same]
+            if len(rows):
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                marks[rows[first]] |= np.bitwise_or.reduceat(self.owners[found], first, axis=0)
+        return marks
+
     def _codes(self, words: list[str]) -> np.ndarray:
         points = np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
-        codes = self.ids[np.minimum(points, len(self.ids) - 1)]
+        codes = self.ids[points]
         inner = (codes == 0) & (np.maximum.accumulate((codes != 0)[:, ::-1], axis=1)[:, ::-1])
         rows = np.flatnonzero(inner.any(1))
         if len(rows):
@@ -116,13 +151,10 @@ class Landmarks:
         for at in range(0, len(words), 65536):
             part = words[at : at + 65536]
             codes = self._codes(part)
-            c = np.pad(codes, ((0, 0), (0, 4))).astype(np.int32)
-            marks = np.zeros(len(part), np.uint64)
-            for a, b in STEPS:
-                marks |= np.bitwise_or.reduce(self.table[(c[:, :WIDTH] << 12) | (c[:, a : WIDTH + a] << 6) | c[:, b : WIDTH + b]], axis=1)
-            some = np.flatnonzero(marks)
+            marks = self._marks(codes)
+            some = np.flatnonzero(marks.any(1))
             for k, landmark in enumerate(self.codes):
-                rows = some[(marks[some] >> np.uint64(k)) & np.uint64(1) == 1]
+                rows = some[(marks[some, k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1]
                 if len(rows):
                     near = np.minimum(kernel(codes[rows], landmark) / self.own[k], 1)
                     for r, value in zip(rows.tolist(), near.tolist(), strict=True):
@@ -137,7 +169,7 @@ def bags(batches, landmarks: Landmarks):
 
     def flush(held):
         nonlocal far, near
-        every = [[words_of(t) for t in b.column(1).to_pylist()] for b in held]
+        every = [[words_of(t, landmarks.known) for t in b.column(1).to_pylist()] for b in held]
         new = set().union(*(w for e in every for w in e)) - far - near.keys()
         fresh = list(new)
         near.update(landmarks.similar(fresh) if fresh else {})
@@ -170,7 +202,7 @@ def grams(words) -> set[str]:
     return {w[k : k + n] for w in words for n in SEEDS for k in range(len(w) - n + 1)}
 
 
-def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
+def choose_landmarks(rows: DataFrame, least: int = 3, most: int = LANDMARKS) -> list[str]:
     """Strings of 4 to LONGEST characters that cover the toxic documents of rows (doc_id, text, label)."""
 
     def vocabulary(batches):
@@ -220,7 +252,7 @@ def choose_landmarks(rows: DataFrame, least: int = 3) -> list[str]:
     covered = np.zeros(len(toxic), np.int32)
     found: list[str] = []
     live = dict(where)
-    while live and len(found) < LANDMARKS:
+    while live and len(found) < most:
         gain = {g: int((covered[d] < 2).sum()) - clean.get(g, 0) // 2 for g, d in live.items()}
         g = max(gain, key=lambda k: (gain[k], k))
         if gain[g] < least:
@@ -272,11 +304,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e for p in pools for e in p[:2]]), np.array([p[2] / p[3] for p in pools for _ in range(2)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_labelled: int = 16_000) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_labelled: int = 16_000, landmarks: int = LANDMARKS) -> dict:
     rows = labelled_rows(docs, labels, label, parts, part, max_labelled)
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     own = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
-    strings = choose_landmarks(rows.where(~own)) if 0 < share < 1 else []
+    strings = choose_landmarks(rows.where(~own), most=landmarks) if 0 < share < 1 else []
     if not strings:
         return {"constant": float(share)}
 

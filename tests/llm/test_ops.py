@@ -222,6 +222,16 @@ def test_kernel_values_of_inserted_landmark_letters_count():
     assert v[0].any() and not v[1].any()
 
 
+def test_landmarks_of_any_script_number_and_place():
+    strings = ["バカ野郎", "개새끼야", "idiot", *(chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(70))]
+    marks = toxicity.Landmarks(strings)
+    near = marks.similar(["バカ野郎", "개새끼야", "idiot", strings[-1], "garden"])
+    assert [dict(near.get(w, [])).get(k) for k, w in ((0, "バカ野郎"), (1, "개새끼야"), (2, "idiot"), (72, strings[-1]))] == [1, 1, 1, 1] and "garden" not in near
+    whole = "axbxcxdxexfxgxhxixj"  # a landmark of LONGEST characters with one inserted in every gap
+    assert all(any(whole in p for p in toxicity.words_of("q" * k + whole + "q" * 40)) for k in range(40))
+    assert any("idiot" in p for p in toxicity.words_of("q" * 30 + "i----------d----------iot" + "q" * 30, marks.known | {"q"}))
+
+
 def test_toxicity_calibration_is_flat_in_a_pool():
     kx, ky = toxicity.isotonic(np.array([-3.0, -2.0, -1.0, 1.0, 2.0]), np.array([0.0, 0.0, 0.0, 1.0, 1.0]), np.ones(5))
     assert list(np.interp([-2.5, -1.0, 0.0, 1.0], kx, ky)) == [0.0, 0.0, 0.5, 1.0]
