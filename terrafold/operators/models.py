@@ -1,4 +1,4 @@
-"""Habitat models on DataFrames (ML-01..10)."""
+"""Habitat models on DataFrames (ML-02..05, ML-07, ML-08)."""
 
 from __future__ import annotations
 

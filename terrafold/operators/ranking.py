@@ -1,4 +1,4 @@
-"""Ordinal ranks, percentiles and leaderboards (WIN-01..12, SRT-01..10, AGG-21)."""
+"""Ordinal ranks, percentiles and leaderboards (WIN-01..12, SRT-01..09, AGG-21)."""
 
 from __future__ import annotations
 

@@ -277,7 +277,7 @@ def gbt_train_score(spark, sf):
     """ML-03/04/07: rows only, as boosted trees have no SQL."""
     e = t(spark, sf, "events").select("event_id", F.col("value").alias("v"), F.col("event_type").alias("kind"), (F.col("value") > 50).cast("double").alias("label"))
     rows = models.split(e, "event_id")
-    model = models.pipeline(["v"], ["kind"], trees=5).fit(rows.where("is_train"))
+    model = models.pipeline(["v"], ["kind"]).fit(rows.where("is_train"))
     return models.scored(model, rows.where("not is_train")).select("event_id", "label", "score")
 
 

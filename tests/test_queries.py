@@ -38,3 +38,19 @@ def test_query_has_rows(spark, name):
 def test_entry(spark):
     assert os.path.exists(SF) and entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_boosted_trees_of_the_query_are_the_default_number(spark, monkeypatch):
+    from terrafold.operators import models
+    from terrafold.plans import more
+
+    class Stop(Exception):
+        pass
+
+    def made(*args, trees=300, **options):
+        assert trees == 300
+        raise Stop
+
+    monkeypatch.setattr(models, "pipeline", made)
+    with pytest.raises(Stop):
+        more.gbt_train_score(spark, "/root/testdata/sf0.001")
