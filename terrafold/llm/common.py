@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE = "\\x20\\x09-\\x0D"
 BATCH_ROWS = 512
+SPREAD_ROWS = 100_000
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -26,9 +28,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without it."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -64,6 +68,29 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """A join on keys in which the rows of a hot key are dealt over several tasks.
+
+    A key is hot if it has more rows of big than an average task, so there are fewer hot keys than tasks, whatever the
+    data: that bounds their list, which is broadcast.  Rows of big with a hot key get a salt by a hash of `by`; rows of
+    small with it are repeated once per salt.  counts: keys and n, the rows of big by key, where they are known.
+    """
+    tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = big.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if total <= SPREAD_ROWS:  # all of it fits one task
+        return big.join(small, keys, how)
+    usual = max(1, int(total) // tasks)
+    hot = staged(counts.where(F.col("n") > usual).select(*keys, F.ceil(F.col("n") / usual).cast("int").alias("_salts")), "hot-keys")
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot)  # fewer rows than tasks
+    one = F.coalesce("_salts", F.lit(1))
+    dealt = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), one).cast("int")).drop("_salts")
+    copied = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+
+
 def held_out(doc_id, parts: int, part: int):
     """True where crc32 of doc_id as text leaves that remainder; null ids are not held out."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % parts == part, F.lit(False))

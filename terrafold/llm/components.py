@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spread, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Result: node, component (the smallest node reachable), for nodes with an edge."""
+    """edges: a, b. Result: node, component (the smallest node reachable), for nodes with an edge.
+
+    Ids may be any longs: nothing is added up.  Hubs, nodes with more edges than an average task, are dealt over tasks.
+    """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     e = staged(e, "edges")
     mark = None
     while True:
-        now = e.agg(F.count("*"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if not now[0] or now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        large = spread(both, least.select("u", "m"), ["u"], ["v"], least).where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.distinct(), "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.select(F.col("u").alias("k"), "m"), F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread(large, low.select("u", "m"), ["u"], ["v"], low).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")

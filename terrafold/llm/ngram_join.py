@@ -13,6 +13,9 @@ the smallest id that has it; these links join most of a group.  Then, for n-gram
 one component, documents outside the n-gram's largest component are compared with all others of another component.  Pairs
 that are left out are in one component already, so no component differs from that of all pairs.
 
+An n-gram or document with more rows than an average task is dealt over tasks in every join.  Texts are compared by the
+64-bit hashes of their n-grams: two different n-grams count as one with a probability of about 1 in 10^19 per pair.
+
 Defined results: a text with fewer words than an n-gram has its whole word sequence as its one element; without words, or
 null, the set is empty and linked with nothing; rows that repeat a doc_id are one node and get one component; a null
 doc_id is linked with nothing and gets a null component.
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, small_batches, staged
+from .common import bounded_broadcast, small_batches, spread, staged
 from .components import components
 
 SKETCH_BITS = 18
@@ -153,8 +156,8 @@ class Join:
 
         firsts = self.texts.mapInArrow(prefixes, "doc long, n int, sig binary, prefix array<long>").join(copies, other, "left_anti")
         postings = staged(firsts.select("doc", "n", F.posexplode("prefix").alias("pos", "gram")), "postings")
-        shared = postings.groupBy("gram").agg(F.count("*").alias("c"), F.min("doc").alias("leader")).where("c > 1").select("gram", "leader")
-        self.postings = staged(postings.join(shared, "gram"), "shared-postings")
+        shared = staged(postings.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc").alias("leader")).where("n > 1"), "shared-grams")
+        self.postings = staged(spread(postings, shared.select("gram", "leader"), ["gram"], ["doc"], shared), "shared-postings")
 
     def near_lengths(self, m, n):
         return F.least(m, n) * 100 >= F.greatest(m, n) * self.percent
@@ -169,10 +172,10 @@ class Join:
         return apart <= F.col("m") + F.col("n") - 2 * self.needed(F.col("m"), F.col("n"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs a, b, those that are linked."""
+        """Of distinct staged pairs a, b, those that are linked."""
         a = self.info.select(F.col("doc").alias("a"), F.col("n").alias("m"), F.col("bins").alias("x"))
         b = self.info.select(F.col("doc").alias("b"), F.col("n").alias("n"), F.col("bins").alias("y"))
-        near = pairs.join(a, "a").join(b, "b").where(self.near_lengths(F.col("m"), F.col("n")) & self.near_counts())
+        near = spread(spread(pairs, a, ["a"], ["b"]), b, ["b"], ["a"], pairs.groupBy("b").agg(F.count("*").alias("n"))).where(self.near_lengths(F.col("m"), F.col("n")) & self.near_counts())
         near = staged(near.select("a", "b"), "candidates")
         ids = staged(near.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "candidate-ids")
         texts = staged(self.texts.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "doc", "left_semi"), "candidate-texts")
@@ -192,7 +195,8 @@ class Join:
                 part = b.take(pa.array(good, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
-        wide = near.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), "b")
+        wide = spread(near, texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), ["a"], ["b"])
+        wide = spread(wide, texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), ["b"], ["a"], near.groupBy("b").agg(F.count("*").alias("n")))
         return staged(wide.select("a", "b", "s", "t").mapInArrow(check, "a long, b long").distinct(), "links")
 
     def links(self) -> DataFrame:
@@ -200,7 +204,8 @@ class Join:
         p = self.postings
         one = p.select("gram", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"))
         two = p.select("gram", F.col("doc").alias("b"), F.col("n").alias("n"), F.col("pos").alias("j"))
-        return self.verified(one.join(two, "gram").where("a < b").where(self.possible()).select("a", "b").distinct())
+        pairs = spread(two, one, ["gram"], ["b"]).where("a < b").where(self.possible()).select("a", "b").distinct()
+        return self.verified(staged(pairs, "link-pairs"))
 
     def possible(self):
         m, n, i, j = (F.col(c) for c in "mnij")
@@ -208,21 +213,22 @@ class Join:
 
     def component_links(self) -> DataFrame:
         """Links that have the components of all links."""
-        first = self.postings.where("doc != leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
+        first = staged(self.postings.where("doc != leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "leader-pairs")
         links = self.verified(first)
         found = staged(components(links), "components")
         where = self.postings.join(found, F.col("doc") == F.col("node"), "left").select("gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
         where = staged(where, "placed-postings")
         mixed = where.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gram")
         open_ = staged(where.join(mixed, "gram", "left_semi"), "open-postings")
-        largest = open_.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("x")).select("gram", F.col("x.component").alias("largest"))
-        named = staged(open_.join(largest, "gram").join(self.info, ["doc", "n"]), "named-postings")
+        sizes = open_.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("n"))
+        sizes = staged(sizes.select("gram", F.col("x.component").alias("largest"), "n"), "open-grams")
+        named = staged(spread(open_, sizes.select("gram", "largest"), ["gram"], ["doc"], sizes).join(self.info, ["doc", "n"]), "named-postings")
         one = named.where("component != largest").select("gram", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("pos").alias("i"), F.col("component").alias("ca"), F.col("bins").alias("x"))
         two = named.select("gram", F.col("doc").alias("b"), F.col("n").alias("n"), F.col("pos").alias("j"), F.col("component").alias("cb"), "largest", F.col("bins").alias("y"))
-        rest = one.join(two, "gram").where(F.expr("ca != cb and (cb = largest or b < a)") & self.possible() & self.near_counts())
+        rest = spread(two, one, ["gram"], ["b"], sizes).where(F.expr("ca != cb and (cb = largest or b < a)") & self.possible() & self.near_counts())
         done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        return links.unionByName(self.verified(rest))
+        return links.unionByName(self.verified(staged(rest, "open-pairs")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
