@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,10 +96,27 @@ def climate_code(text: Column) -> Column:
     return F.when(text.rlike(r"\(([A-Z][A-Za-z]{1,2})\)"), F.regexp_extract(text, r"\(([A-Z][A-Za-z]{1,2})\)", 1))
 
 
+#: What marks a lexicon as that of the United States.
+US_MARKS = ("american", "united states", "u.s.", "usa")
+
+
 def common_name_score(language: Column, lexicon: Column, source: Column, first_party: str = "own") -> Column:
-    """STR-07."""
-    low = F.lower(F.coalesce(lexicon, F.lit("")))
-    return F.when(F.lower(language).isin("en", "eng", "english"), 100).otherwise(0) + F.when(F.contains(low, F.lit("english")), 50).otherwise(0) + F.when(low.rlike("us|united states|north america"), 10).otherwise(0) + F.when(source == first_party, 25).otherwise(0)
+    """STR-07: 100 for English, 50 for an English lexicon, 10 for one of the United States, 25 for the first party's names."""
+    tidy = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    low, own = tidy(lexicon), lambda test, points: F.when(test, points).otherwise(0)
+    us = F.lit(False)
+    for mark in US_MARKS:
+        us = us | F.contains(low, F.lit(mark))
+    return own(tidy(language) == "en", 100) + own(F.contains(low, F.lit("english")), 50) + own(us, 10) + own(tidy(source) == first_party, 25)
+
+
+def of_language(language: Column, lexicon: Column, target: str) -> Column:
+    """STR-07: names of a language; an English lexicon counts as English; without a target all names."""
+    if not target.strip():
+        return F.lit(True)
+    low = target.strip().lower()
+    same = F.lower(F.trim(F.coalesce(language, F.lit("")))) == low
+    return same | F.contains(F.lower(F.coalesce(lexicon, F.lit(""))), F.lit("english")) if low == "en" else same
 
 
 def cased(name: Column) -> Column:
@@ -104,9 +125,21 @@ def cased(name: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.when((F.length(w) <= 4) & (w == F.upper(w)) & w.rlike("[A-Z]"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))), " ")
 
 
+@cache
+def _bases() -> tuple[str, str]:
+    """All letters whose canonical decomposition is one letter and marks, and those letters (Hangul has none)."""
+    pairs = []
+    for k in range(0xC0, sys.maxunicode):
+        c = chr(k)
+        plain = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+        if len(plain) == 1 and plain[0] != c:
+            pairs.append((c, plain[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def without_accents(text: Column) -> Column:
-    """STR-09 for Latin letters; use the UNICODE_CI_AI collation to compare without changing text."""
-    return F.translate(F.lower(F.trim(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿß", "aaaaaaceeeeiiiinooooouuuuyys")
+    """STR-09: canonical decomposition without combining marks, low letters, trimmed."""
+    return F.trim(F.lower(F.regexp_replace(F.translate(text, *_bases()), r"\p{Mn}+", "")))
 
 
 def _indel(a: str, b: str) -> float:

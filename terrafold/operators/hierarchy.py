@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -62,12 +62,51 @@ def matches_parents(locations: DataFrame, tokens: list[str]) -> DataFrame:
     return locations.where(F.forall(F.array(*[F.lit(t.lower()) for t in tokens]), lambda t: F.array_contains(names, t)))
 
 
-def inherited(taxa: DataFrame, tree: DataFrame, column: str) -> DataFrame:
-    """HIE-12/13/14: a value from the taxon itself, else from its nearest descendant that has one (ties by key), else from its parent."""
-    have = taxa.where(F.col(column).isNotNull()).select(F.col("taxon_key").alias("descendant"), F.col(column).alias("_v"))
-    down = tree.join(have, "descendant").groupBy(F.col("ancestor").alias("taxon_key")).agg(F.min_by("_v", F.struct("depth", "descendant")).alias("_down"))
+#: Ranks below a species.
+BELOW_SPECIES = ("SUBSPECIES", "VARIETY", "FORM")
+
+
+def _below(taxa: DataFrame, tree: DataFrame, column: str) -> DataFrame:
+    """Per ancestor the value of its first descendant that has one, of any rank and of a species; first by depth, then by key."""
+    have = taxa.where(F.col(column).isNotNull()).select(F.col("taxon_key").alias("descendant"), F.col(column).alias("_v"), F.col("rank").alias("_rank"))
+    found = tree.where("depth > 0").join(have, "descendant")
+    first = F.struct("depth", "descendant")
+    species = F.when(F.col("_rank") == "SPECIES", first)
+    return found.groupBy(F.col("ancestor").alias("taxon_key")).agg(F.min_by("_v", first).alias("_any"), F.min_by("_v", species).alias("_species"))
+
+
+def inherited_media(taxa: DataFrame, tree: DataFrame, column: str) -> DataFrame:
+    """HIE-12: taxa: taxon_key, parent_key, rank and a value.  The first of: a species below the taxon; the taxon itself if it
+    is a species or lower; any taxon below; the taxon itself; a sibling (by key), or the first taxon below that sibling."""
+    rows = taxa.join(_below(taxa, tree, column), "taxon_key", "left")
+    low = F.col("rank").isin("SPECIES", *BELOW_SPECIES)
+    rows = rows.withColumn("_own", F.coalesce("_species", F.when(low, F.col(column)), "_any", column)).withColumn("_lent", F.coalesce(column, "_any"))
+    # Of the siblings that have a value, the first two by key: one of them is not the taxon itself.
+    order = Window.partitionBy("parent_key").orderBy("taxon_key")
+    lent = rows.where("_lent is not null and parent_key is not null").select("parent_key", "taxon_key", "_lent", F.row_number().over(order).alias("_r")).where("_r <= 2")
+    lent = lent.groupBy("parent_key").agg(F.max(F.when(F.col("_r") == 1, F.struct("taxon_key", "_lent"))).alias("_a"), F.max(F.when(F.col("_r") == 2, F.struct("taxon_key", "_lent"))).alias("_b"))
+    other = F.when(F.col("_a.taxon_key") != F.col("taxon_key"), F.col("_a._lent")).otherwise(F.col("_b._lent"))
+    return rows.join(lent, "parent_key", "left").select("taxon_key", F.coalesce("_own", other).alias(column))
+
+
+def inherited_image(taxa: DataFrame, tree: DataFrame, column: str) -> DataFrame:
+    """HIE-13: the taxon's own value, else that of the first taxon below it."""
+    return taxa.join(_below(taxa, tree, column), "taxon_key", "left").select("taxon_key", F.coalesce(column, "_any").alias(column))
+
+
+def inherited_names(taxa: DataFrame, column: str) -> DataFrame:
+    """HIE-14: a taxon below the rank of species without a name has its parent's."""
     up = taxa.select(F.col("taxon_key").alias("_p"), F.col(column).alias("_up"))
-    return taxa.join(down, "taxon_key", "left").join(up, F.col("parent_key") == F.col("_p"), "left").select("taxon_key", F.coalesce("_down", "_up").alias(column))
+    got = taxa.join(up, F.col("parent_key") == F.col("_p"), "left")
+    return got.select("taxon_key", F.coalesce(column, F.when(F.col("rank").isin(*BELOW_SPECIES), F.col("_up"))).alias(column))
+
+
+def name_index(names: DataFrame) -> DataFrame:
+    """HIE-16: names (taxon_key, name) -> normalized name and slug with the taxa that have them, sorted."""
+    from ..functions.text import normalized, slug
+
+    rows = names.select("taxon_key", normalized(F.col("name")).alias("name"), slug(F.col("name")).alias("slug")).distinct()
+    return rows.groupBy("name", "slug").agg(F.array_sort(F.collect_list("taxon_key")).alias("taxa"), F.count("*").alias("n"))
 
 
 #: Ranks from the root.

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
+
 
 def positions(metrics: DataFrame, context: list[str], key: str = "taxon_key", value: str = "value") -> DataFrame:
     """WIN-01/02: 0-based place by value then key as text, size of the context, and place / (size - 1)."""
@@ -13,6 +17,17 @@ def positions(metrics: DataFrame, context: list[str], key: str = "taxon_key", va
     return out.withColumn("percentile", percentile(F.col("pos"), F.col("cnt")))
 
 
+def positions_by_ranges(metrics: DataFrame, context: list[str], key: str = "taxon_key", value: str = "value") -> DataFrame:
+    """WIN-01/02 for contexts that are too large for one task: all rows are numbered in the order of context, value and key, and a place is the distance to the first row of the context."""
+    order = [*[F.asc(c) for c in context], F.asc(value), F.col(key).cast("string").asc()]
+    rows = numbered(metrics, order, "_row")
+    first = rows.groupBy(*context).agg(F.min("_row").alias("_first"), F.count("*").alias("cnt"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in context])
+    out = rows.join(first.select(*[F.col(c).alias(f"_c_{c}") for c in context], "_first", "cnt"), same)
+    out = out.withColumn("pos", F.col("_row") - F.col("_first"))
+    return out.select(*metrics.columns, "pos", "cnt", percentile(F.col("pos"), F.col("cnt")).alias("percentile"))
+
+
 def percentile(pos: Column, cnt: Column) -> Column:
     return F.when(cnt > 1, pos / (cnt - 1)).otherwise(0.0)
 
@@ -38,42 +53,42 @@ def leaderboard(ranked: DataFrame, descending: bool, limit: int, offset: int = 0
 
 
 def direct(matches: DataFrame, descending: bool, key: str = "taxon_key") -> DataFrame:
-    """WIN-06: matches by value, then higher match score; place and percentile in the ascending sense.
-
-    Numbering starts from the counts of ranges of values, so no task gets all the rows.
-    """
-    order = [F.desc("value") if descending else F.asc("value"), F.desc("match_score"), F.col(key).cast("string")]
-    sign = F.col("value") * (-1 if descending else 1)
-    rows = numbered(matches.withColumn("_sign", sign), ["_sign"], order, "row").drop("_sign")
+    """WIN-06: matches by value, then higher match score; place and percentile in the ascending sense; null values come last."""
+    order = [F.desc_nulls_last("value") if descending else F.asc_nulls_last("value"), F.desc("match_score"), F.col(key).cast("string").asc()]
+    rows = numbered(matches, order, "row")
     total = matches.agg(F.count("*").alias("cnt"))
     rows = rows.join(F.broadcast(total))  # one row
     pos = (F.col("cnt") - 1 - F.col("row")) if descending else F.col("row")
     return rows.withColumn("pos", pos).withColumn("percentile", percentile(F.col("pos"), F.col("cnt")))
 
 
-def dealt(df: DataFrame, key: str, bins: int = 64) -> DataFrame:
-    """Rows with `_part`: the range of key, between its quantiles, that they are in."""
-    cuts = df.agg(F.percentile_approx(key, [k / bins for k in range(1, bins)], 1000)).first()[0] or []
-    above = [(F.col(key) > c).cast("int") for c in sorted(set(cuts))]
-    return df.withColumn("_part", F.aggregate(F.array(*above), F.lit(0), lambda a, x: a + x) if above else F.lit(0))
+def in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df dealt over tasks by ranges of the whole order and sorted in each: `_part` rises with the order, `_here` in a part.
+
+    Ranges are over all the columns of the order, so a frequent first value, or null, is split by the others.  The rows are
+    written once, because ranges come from a sample and must not change between the steps that use them.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_here", F.monotonically_increasing_id())
+    return staged(rows, "ordered").withColumns({"_part": F.shiftright("_here", 33), "_here": F.col("_here").bitwiseAND(F.lit((1 << 33) - 1))})
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, bins: int = 64) -> DataFrame:
-    """A global 0-based row number: rows are dealt by quantiles of the first key, numbered in each part, and moved by the rows before it."""
-    parts = dealt(df, keys[0], bins)
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `bins` rows
-    here = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return parts.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_part", "_here", "_before")
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """A global 0-based row number: the place in a part, moved by the rows of the parts before it. Rows equal in the whole order are numbered in any way."""
+    rows = in_order(df, order)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # as many rows as tasks
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
 
 
-def summed_below(df: DataFrame, key: str, weight: str, name: str, bins: int = 64) -> DataFrame:
-    """The sum of weight over all rows with a lesser key; keys are distinct.  Dealt like `numbered`, so no task gets all rows."""
-    parts = dealt(df, key, bins)
-    sizes = parts.groupBy("_part").agg(F.sum(weight).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # at most `bins` rows
-    here = F.sum(weight).over(Window.partitionBy("_part").orderBy(key)) - F.col(weight)
-    return parts.withColumn("_here", here).join(F.broadcast(before), "_part").withColumn(name, F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
+def summed_below(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Per row the sum of each column over all rows before it in a total order; 0 for the first."""
+    rows = in_order(df.withColumns({f"_w_{n}": c for n, c in sums.items()}), order)
+    sizes = rows.groupBy("_part").agg(*[F.sum(f"_w_{n}").alias(f"_s_{n}") for n in sums])
+    up = Window.orderBy("_part")  # as many rows as tasks
+    before = sizes.select("_part", *[(F.sum(f"_s_{n}").over(up) - F.col(f"_s_{n}")).alias(f"_b_{n}") for n in sums])
+    here = Window.partitionBy("_part").orderBy("_here")
+    rows = rows.withColumns({f"_h_{n}": F.sum(f"_w_{n}").over(here) - F.col(f"_w_{n}") for n in sums}).join(F.broadcast(before), "_part")
+    return rows.select(*df.columns, *[(F.col(f"_h_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums])
 
 
 def metric_rows(numeric: DataFrame, categorical: DataFrame, counts: DataFrame) -> DataFrame:
@@ -100,4 +115,5 @@ def outliers(ranked: DataFrame, depth: DataFrame) -> DataFrame:
 
 def capped(df: DataFrame, key: str, ident: str, cap: int, seed: int = 42) -> DataFrame:
     """SRT-08/09: a sampling operator: cap rows per key in the order of a seeded hash."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(ident, F.lit(seed)), ident))).where(F.col("_r") <= cap).drop("_r")
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ident).cast("string")))
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(drawn, ident))).where(F.col("_r") <= cap).drop("_r")

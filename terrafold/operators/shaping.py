@@ -33,7 +33,7 @@ def ordered(df: DataFrame, own: list[str], variables: list[str]) -> DataFrame:
 
 def with_names(df: DataFrame, name: str, order: str) -> DataFrame:
     """PRJ-08: blank names become `Observation #n`, n the 1-based ordinal of the row."""
-    rows = numbered(df, [order], [F.col(order)], "_ordinal")
+    rows = numbered(df, [F.asc_nulls_last(order)], "_ordinal")
     blank = F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) == ""
     return rows.withColumn(name, F.when(blank, F.concat(F.lit("Observation #"), F.col("_ordinal") + 1)).otherwise(F.col(name))).drop("_ordinal")
 

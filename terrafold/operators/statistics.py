@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .filters import clean
+from .ranking import numbered
 
 POINTS = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 NAMES = ("p01", "p10", "p25", "median", "p75", "p90", "p99")
+SPANS = (("iqr", "p75", "p25"), ("range_10_90", "p90", "p10"), ("range_1_99", "p99", "p01"), ("value_range", "max", "min"))
 TAU = 6.283185307179586
 
 
@@ -25,8 +28,31 @@ def summary(df: DataFrame, keys: list[str], value: str = "value", exact: bool =
     p = F.percentile(v, F.array(*map(F.lit, POINTS))) if exact else F.percentile_approx(v, list(POINTS), 10000)
     out = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("min"), p.alias("_p"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
     out = out.select(*keys, "n", "min", *[F.get("_p", F.lit(k)).alias(n) for k, n in enumerate(NAMES)], "max", "mean", "std")
-    spans = [("iqr", "p75", "p25"), ("range_10_90", "p90", "p10"), ("range_1_99", "p99", "p01"), ("value_range", "max", "min")]
-    return out.withColumns({n: F.col(a) - F.col(b) for n, a, b in spans})
+    return out.withColumns({n: F.col(a) - F.col(b) for n, a, b in SPANS})
+
+
+def summary_by_ranges(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """AGG-01 for groups of any size, exact: all values are dealt over tasks by ranges of (keys, value) and numbered; a
+    percentile reads the two rows around its place.  No task holds a group, and no sketch rounds."""
+    rows = df.select(*keys, clean(F.col(value)).alias("_v")).where("_v is not null")
+    rows = numbered(rows, [*[F.asc(k) for k in keys], F.asc("_v")], "_row")
+    v = F.col("_v")
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_row").alias("_first"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    groups = staged(groups, "groups")
+    at = F.posexplode(F.transform(F.array(*map(F.lit, POINTS)), lambda p: p * (F.col("n") - 1))).alias("_k", "_at")
+    wanted = groups.select(*keys, "_first", at).select(*keys, "_k", "_at", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("_first") + F.floor("_at")).alias("row")), F.struct(F.lit(1).alias("side"), (F.col("_first") + F.ceil("_at")).alias("row")))).alias("_w"))
+    found = wanted.select(*keys, "_k", "_at", "_w.side", F.col("_w.row").alias("_row")).join(rows.select("_row", "_v"), "_row")
+    pair = found.groupBy(*keys, "_k").agg(F.max(F.when(F.col("side") == 0, v)).alias("_a"), F.max(F.when(F.col("side") == 1, v)).alias("_b"), F.max(F.col("_at") - F.floor("_at")).alias("_t"))
+    points = pair.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t"))).alias(n) for k, n in enumerate(NAMES)])
+    same = reduce(lambda a, b: a & b, [F.col(f"g.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys])
+    out = groups.alias("g").join(points.alias("p"), same).select(*[F.col(f"g.{k}") for k in keys], "n", "min", *NAMES, "max", "mean", "std")
+    return out.withColumns({n: F.col(a) - F.col(b) for n, a, b in SPANS})
+
+
+def summary_by_rank(df: DataFrame, keys: list[str], is_leaf: Column, value: str = "value") -> DataFrame:
+    """AGG-04: groups of leaf taxa, which are small, by exact percentiles in one aggregation; groups above them, which may
+    hold all rows, by ranges."""
+    return summary(df.where(is_leaf), keys, value).unionByName(summary_by_ranges(df.where(~is_leaf), keys, value))
 
 
 def circular(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -49,15 +75,15 @@ def grid_points(n: Column) -> Column:
 def sampled(df: DataFrame, keys: list[str], ident: str, cap: int = 20_000, value: str = "value") -> DataFrame:
     """AGG-13: at most about cap values per key by a hash of the id: no sort, and the same values at each run."""
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    part = F.pmod(F.xxhash64(ident, *keys), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    part = F.conv(F.substr(F.md5(F.concat_ws("|", F.col(ident).cast("string"), *[F.col(k).cast("string") for k in keys])), F.lit(1), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
     return df.join(n, keys).where((F.col("_n") <= cap) | (part * F.col("_n") < cap)).drop("_n")
 
 
 def density(df: DataFrame, keys: list[str], value: str = "value", points: int | None = None, ring: bool = False) -> DataFrame:
     """AGG-10/11: Gaussian densities on a grid; ring: on 0 to 360 degrees with the data repeated on both sides.
 
-    Values are rounded to no grid: each (value, grid point) pair is one row of a generator inside the aggregation, so no
-    pair is shuffled, and partial sums meet per grid point.
+    Equal values are counted first.  Then each (value, grid point) pair is one row of a generator inside the aggregation,
+    so no pair is shuffled, and partial sums meet per grid point; `sampled` before it bounds the values of large groups.
     """
     v = clean(F.col(value))
     rows = df.select(*keys, v.alias("_v")).where("_v is not null")
@@ -73,10 +99,10 @@ def density(df: DataFrame, keys: list[str], value: str = "value", points: int |
         low, high = F.when(flat, F.col("_lo") - pad).otherwise(F.col("_lo")), F.when(flat, F.col("_hi") + pad).otherwise(F.col("_hi"))
     stats = stats.select(*keys, "n", low.alias("low"), high.alias("high"), band.alias("bandwidth"), (F.lit(points) if points else grid_points(F.col("n"))).alias("_k"))
     where = F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda i: F.struct(i.alias("i"), (F.col("low") + (F.col("high") - F.col("low")) * i / (F.col("_k") - 1)).alias("x"))))
-    pairs = rows.join(stats, keys)
+    pairs = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_times")).join(stats, keys)
     one = lambda shift: F.exp(-0.5 * ((F.col("g.x") - F.col("_v") - shift) / F.col("bandwidth")) ** 2)
     part = reduce(lambda a, b: a + b, [one(s) for s in (-360.0, 0.0, 360.0)]) if ring else one(0.0)
-    got = pairs.select(*keys, "n", "bandwidth", "_v", where.alias("g")).groupBy(*keys, "n", "bandwidth", F.col("g.i").alias("i"), F.col("g.x").alias("x")).agg(F.sum(part).alias("_sum"))
+    got = pairs.select(*keys, "n", "bandwidth", "_v", "_times", where.alias("g")).groupBy(*keys, "n", "bandwidth", F.col("g.i").alias("i"), F.col("g.x").alias("x")).agg(F.sum(F.col("_times") * part).alias("_sum"))
     return got.select(*keys, "i", "x", (F.col("_sum") / (F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(TAU)))).alias("density"), "bandwidth", "n")
 
 

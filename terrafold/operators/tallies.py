@@ -51,11 +51,12 @@ def match_quality(matches: DataFrame, key: str = "rank") -> DataFrame:
     return matches.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.expr("hits = 1")).alias("matched"), F.count_if(F.expr("hits > 1")).alias("ambiguous"), F.count_if(F.expr("coalesce(hits, 0) = 0")).alias("unmatched"), F.count_if(F.col("conflict")).alias("conflict"))
 
 
-def aspect_preference(shares: DataFrame, keys: list[str], least: float = 0.5, samples: int = 100) -> DataFrame:
-    """AGG-33: aspect (one of eight classes), share and n -> share of each cardinal direction; a diagonal counts for both its
-    sides; whether it is preferred."""
-    d = shares.withColumn("direction", F.explode(F.regexp_extract_all("aspect", F.lit("[NESW]"), F.lit(0))))
-    d = d.groupBy(*keys, "direction").agg(F.sum("share").alias("share"), F.max("n").alias("n"))
+def aspect_preference(counts: DataFrame, keys: list[str], least: float = 0.5, samples: int = 100) -> DataFrame:
+    """AGG-33: aspect (one of eight classes), its count and the total n -> share of each cardinal direction; a diagonal counts
+    for both its sides; whether it is preferred.  Counts are added up and divided once, so the share is the same at each run."""
+    d = counts.withColumn("direction", F.explode(F.regexp_extract_all("aspect", F.lit("[NESW]"), F.lit(0))))
+    d = d.groupBy(*keys, "direction").agg(F.sum("count").alias("c"), F.max("n").alias("n"))
+    d = d.withColumn("share", F.col("c") / F.col("n")).drop("c")
     return d.withColumn("preferred", (F.col("share") > least) & (F.col("n") > samples))
 
 

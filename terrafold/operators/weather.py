@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 WINDOWS = (1, 6, 24, 72, 168, 720, 2160)
 
 
-def hourly(points: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """DAT-04: one mean per key and hour."""
-    return points.groupBy(*keys, F.date_trunc("HOUR", F.col(time).cast("timestamp_ntz").cast("timestamp")).alias("hour")).agg(F.avg(value).alias("value"))
+def hourly(points: DataFrame, keys: list[str], time: str, value: str, how=F.avg) -> DataFrame:
+    """DAT-04: one value per key and hour: the mean, or another aggregate such as the sum for rain."""
+    return points.groupBy(*keys, F.date_trunc("HOUR", F.col(time).cast("timestamp_ntz").cast("timestamp")).alias("hour")).agg(how(value).alias("value"))
 
 
 def preferred(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

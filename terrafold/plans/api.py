@@ -62,7 +62,7 @@ def query_taxa(catalog: Catalog, text: str | None = None, within: str | None = N
         taxa = taxa.join(counts.select("taxon_key"), "taxon_key", "left_semi")
     if sort:
         m = catalog.metric.where((F.col("variable") == sort[0]) & (F.col("metric") == sort[1])).select("taxon_key", "value", "samples")
-        rows = ranking.numbered(taxa.join(m, "taxon_key"), ["value"], [F.asc("value"), F.col("taxon_key").asc()], "pos")
+        rows = ranking.numbered(taxa.join(m, "taxon_key"), [F.asc_nulls_last("value"), F.asc("taxon_key")], "pos")
         rows = rows.join(F.broadcast(rows.agg(F.count("*").alias("cnt"))))  # one row
         rows = rows.withColumn("percentile", ranking.percentile(F.col("pos"), F.col("cnt")))
     else:

@@ -215,12 +215,12 @@ def match_quality(spark, sf):
     return tallies.match_quality(t(spark, sf, "customer").selectExpr("c_mktsegment as rank", "nullif(c_custkey % 3, 0) as hits", "c_custkey % 5 = 0 as conflict"))
 
 
-@query("WITH d(i, c, a) AS (VALUES (0, 'N', 'N'), (1, 'NE', 'N'), (1, 'NE', 'E'), (2, 'E', 'E'), (3, 'SE', 'S'), (3, 'SE', 'E'), (4, 'S', 'S'), (5, 'SW', 'S'), (5, 'SW', 'W'), (6, 'W', 'W'), (7, 'NW', 'N'), (7, 'NW', 'W')), t AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l_suppkey, l_partkey % 8 AS i, count(*) AS c FROM lineitem GROUP BY ALL) SELECT s.l_suppkey, a AS direction, round(sum(s.c / n), 6) AS share, any_value(n) AS n, round(sum(s.c / n), 9) > 0.4 AND any_value(n) > 100 AS preferred FROM s JOIN t USING (l_suppkey) JOIN d ON d.i = s.i GROUP BY s.l_suppkey, a")
+@query("WITH d(i, c, a) AS (VALUES (0, 'N', 'N'), (1, 'NE', 'N'), (1, 'NE', 'E'), (2, 'E', 'E'), (3, 'SE', 'S'), (3, 'SE', 'E'), (4, 'S', 'S'), (5, 'SW', 'S'), (5, 'SW', 'W'), (6, 'W', 'W'), (7, 'NW', 'N'), (7, 'NW', 'W')), t AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT l_suppkey, l_partkey % 8 AS i, count(*) AS c FROM lineitem GROUP BY ALL) SELECT s.l_suppkey, a AS direction, sum(s.c) / any_value(n) AS share, any_value(n) AS n, sum(s.c) / any_value(n) > 0.4 AND any_value(n) > 100 AS preferred FROM s JOIN t USING (l_suppkey) JOIN d ON d.i = s.i GROUP BY s.l_suppkey, a")
 def aspect_preferences(spark, sf):
     """AGG-33."""
     li = t(spark, sf, "lineitem").select("l_suppkey", F.element_at(F.array(*map(F.lit, ("N", "NE", "E", "SE", "S", "SW", "W", "NW"))), (F.col("l_partkey") % 8 + 1).cast("int")).alias("aspect"))
-    s = li.groupBy("l_suppkey", "aspect").agg(F.count("*").alias("c")).join(li.groupBy("l_suppkey").agg(F.count("*").alias("n")), "l_suppkey")
-    return rounded(tallies.aspect_preference(s.withColumn("share", F.col("c") / F.col("n")), ["l_suppkey"], 0.4), "share")
+    s = li.groupBy("l_suppkey", "aspect").agg(F.count("*").alias("count")).join(li.groupBy("l_suppkey").agg(F.count("*").alias("n")), "l_suppkey")
+    return tallies.aspect_preference(s, ["l_suppkey"], 0.4).select("l_suppkey", "direction", "share", "n", "preferred")
 
 
 @query(f"WITH {CLOSURE} SELECT taxon_key, rank FROM taxon JOIN closure ON descendant = taxon_key WHERE ancestor = 'r1' AND depth > 0 AND rank = 'SUPPLIER'")
@@ -343,8 +343,8 @@ def _said(delta: str, degree: str, more: str, less: str) -> str:
 
 
 @query(f"""WITH {PLACES}, g AS (SELECT flag, avg(quantity) AS q, avg(tax) AS x FROM places GROUP BY 1), h AS (SELECT flag, level0, avg(quantity) AS q, avg(tax) AS x FROM places GROUP BY ALL), d AS (SELECT flag, level0, round(h.q - g.q, 9) AS d, (h.x - g.x) AS e, g.x AS b FROM h JOIN g USING (flag))
-SELECT flag, level0, {_said('d', _bands('abs(d)', narrative.TEMPERATURE), 'warmer', 'cooler')} AS warm, {_said('e', _bands('round(abs(e) / b, 9)', narrative.RAIN), 'wetter', 'drier')} AS wet, {_said('d', _bands('abs(d * 20)', narrative.SNOW), 'snowier', 'less snowy')} AS snow,
-CASE WHEN abs(d * 5) >= 2 THEN {_said('d', _bands('abs(d * 5)', narrative.SOIL), 'sandier', 'less sandy')} END AS soil FROM d""")
+SELECT flag, level0, {_said('d', _bands('abs(d)', [(0.5, 'slightly'), (1.5, 'a bit'), (3.0, 'noticeably'), (5.0, 'much')]), 'warmer', 'cooler')} AS warm, {_said('e', _bands('round(abs(e) / b, 9)', [(0.10, 'slightly'), (0.25, 'a bit'), (0.50, 'noticeably'), (0.80, 'much')]), 'wetter', 'drier')} AS wet, {_said('d', _bands('abs(d * 20)', [(5.0, 'slightly'), (20.0, 'a bit'), (60.0, 'noticeably'), (150.0, 'much')]), 'snowier', 'less snowy')} AS snow,
+CASE WHEN abs(d * 5) >= 2 THEN {_said('d', _bands('abs(d * 5)', [(2.0, 'slightly'), (5.0, 'a bit'), (10.0, 'noticeably'), (20.0, 'much')]), 'sandier', 'less sandy')} END AS soil FROM d""")
 def local_comparison(spark, sf):
     """DSC-07."""
     p = places(spark, sf)

@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import science, text
 from ..operators import hierarchy, joins, models, raster, weather
+from ..storage import shared_path
 from . import api
 from .core import METRIC, metric_table, rounded
 from .domain import CLOSURE, TAXON, VIS, occurrence, query, t, taxon, visible
 
-HOURLY = "hourly AS (SELECT event_type AS cell, date_trunc('hour', ts) AS hour, avg(value) AS value FROM events GROUP BY ALL)"
+#: Hourly sums in whole cents: exact in any order of addition, so neither side rounds.
+HOURLY = "hourly AS (SELECT event_type AS cell, date_trunc('hour', ts) AS hour, sum(round(value * 100))::DOUBLE AS value FROM events GROUP BY ALL)"
 
 
 def hourly(spark, sf):
-    return weather.hourly(t(spark, sf, "events").withColumnRenamed("event_type", "cell"), ["cell"], "ts", "value")
+    cents = t(spark, sf, "events").select(F.col("event_type").alias("cell"), "ts", F.round(F.col("value") * 100).alias("value"))
+    return weather.hourly(cents, ["cell"], "ts", "value", F.sum)
 
 
 def epoch_hour(column: str = "hour"):
     return (F.unix_timestamp(column) / 3600).cast("long").alias("hour")
 
 
-@query("WITH a AS (SELECT e.event_id, max(s.ts) AS st FROM events e JOIN events s ON s.event_type = 'view' AND s.user_id = e.user_id AND s.ts <= e.ts WHERE e.event_type <> 'view' GROUP BY e.event_id) SELECT e.event_id, epoch(a.st)::BIGINT AS seen FROM events e LEFT JOIN a USING (event_id) WHERE e.event_type <> 'view'")
+@query("WITH a AS (SELECT e.event_id, max(s.ts) AS st FROM events e JOIN events s ON s.event_type = 'view' AND s.user_id = e.user_id AND s.ts <= e.ts WHERE e.event_type <> 'view' GROUP BY e.event_id) SELECT e.event_id, epoch_us(a.st) AS seen FROM events e LEFT JOIN a USING (event_id) WHERE e.event_type <> 'view'")
 def asof_series(spark, sf):
     """JON-05/06."""
     e = t(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    right = e.where("event_type = 'view'").select("user_id", "ts", F.unix_timestamp("ts").alias("seen"))
+    right = e.where("event_type = 'view'").select("user_id", "ts", F.unix_micros("ts").alias("seen"))
     return joins.as_of(e.where("event_type != 'view'").select("event_id", "user_id", "ts"), right, ["user_id"], "ts", ["seen"]).select("event_id", "seen")
 
 
@@ -41,13 +41,8 @@ def nearest_time(spark, sf):
     return got.select("event_id", F.abs(F.col("valid") - F.unix_micros("ts")).alias("gap"))
 
 
-def settled(column):
-    """Four decimals. Values have four, so their means often end in an exact half; the shift keeps these off the rounding edge."""
-    return F.round(F.col(column) + 0.0000137, 4).alias(column)
-
-
 def trailing_sql(hours):
-    w = ", ".join(f"round(sum(value) OVER w{h} + 0.0000137, 4) AS sum_{h}h, round(avg(value) OVER w{h} + 0.0000137, 4) AS avg_{h}h" for h in hours)
+    w = ", ".join(f"sum(value) OVER w{h} AS sum_{h}h, sum(value) OVER w{h} / count(value) OVER w{h} AS avg_{h}h" for h in hours)
     d = ", ".join(f"w{h} AS (PARTITION BY cell ORDER BY hour RANGE BETWEEN INTERVAL {h - 1} HOUR PRECEDING AND CURRENT ROW)" for h in hours)
     return f"SELECT cell, epoch(hour)::BIGINT // 3600 AS hour, {w} FROM hourly WINDOW {d}"
 
@@ -56,7 +51,7 @@ def trailing_sql(hours):
 def trailing_windows_7(spark, sf):
     """WIN-07/08, DAT-04."""
     got = weather.trailing(hourly(spark, sf), ["cell"])
-    return got.select("cell", epoch_hour(), *[settled(c) for c in got.columns if c.startswith(("sum", "avg"))])
+    return got.select("cell", epoch_hour(), *[c for c in got.columns if c.startswith(("sum", "avg"))])
 
 
 TWO = f"{HOURLY}, best AS (SELECT coalesce(a.hour, b.hour) AS hour, 'all' AS cell, coalesce(a.value, b.value) AS value FROM (SELECT * FROM hourly WHERE cell = 'purchase') a FULL JOIN (SELECT * FROM hourly WHERE cell = 'view') b ON a.hour = b.hour)"
@@ -68,15 +63,15 @@ def two_source_window(spark, sf):
     h = hourly(spark, sf)
     one = lambda c: h.where(F.col("cell") == c).select(F.lit("all").alias("cell"), "hour", "value")
     got = weather.trailing(weather.preferred(one("purchase"), one("view"), ["cell"]), ["cell"], (24, 168))
-    return got.select("cell", epoch_hour(), *[settled(c) for c in got.columns if c.startswith(("sum", "avg"))])
+    return got.select("cell", epoch_hour(), *[c for c in got.columns if c.startswith(("sum", "avg"))])
 
 
-@query(f"WITH {HOURLY}, s(shift) AS (VALUES (0), (1), (8), (24), (72), (168)), a AS (SELECT max(hour) AS anchor FROM hourly) SELECT cell, shift, round(sum(value) + 0.0000137, 4) AS total, count(value) AS hours FROM hourly, s, a WHERE epoch(hour)::BIGINT // 3600 < epoch(anchor)::BIGINT // 3600 + shift AND epoch(hour)::BIGINT // 3600 >= epoch(anchor)::BIGINT // 3600 + shift - 240 GROUP BY cell, shift")
+@query(f"WITH {HOURLY}, s(shift) AS (VALUES (0), (1), (8), (24), (72), (168)), a AS (SELECT max(hour) AS anchor FROM hourly) SELECT cell, shift, sum(value) AS total, count(value) AS hours FROM hourly, s, a WHERE epoch(hour)::BIGINT // 3600 < epoch(anchor)::BIGINT // 3600 + shift AND epoch(hour)::BIGINT // 3600 >= epoch(anchor)::BIGINT // 3600 + shift - 240 GROUP BY cell, shift")
 def shifted_windows(spark, sf):
     """TMP-06, DAT-07."""
     h = hourly(spark, sf)
     anchor = h.agg(F.max("hour")).first()[0]
-    return weather.shifted(h, ["cell"], anchor, 240, (0, 1, 8, 24, 72, 168)).select("cell", "shift", settled("total"), "hours")
+    return weather.shifted(h, ["cell"], anchor, 240, (0, 1, 8, 24, 72, 168)).select("cell", "shift", "total", "hours")
 
 
 @query("SELECT event_id, round(0.6108 * exp(17.27 * v / (v + 237.3)) - 0.6108 * exp(17.27 * d / (d + 237.3)), 6) AS vpd, round(greatest(0.6108 * exp(17.27 * v / (v + 237.3)) * (1 - least(greatest(h, 0), 100) / 100), 0), 6) AS vpd_rh FROM (SELECT event_id, fmod(value, 40) AS v, fmod(value, 40) - 3 AS d, fmod(value * 7, 120) AS h FROM events)")
@@ -329,8 +324,7 @@ def streamed_windows(spark, sf):
     """TMP-05, TMP-07..09: events as a stream; the final state gives the batch result."""
     from ..streaming.windows import Revisions, run_available
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    home = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    home = shared_path(spark, "stream")
     hours = hourly(spark, sf)
     # Two arrivals of each hour: a wrong one of the fallback source, then the right one of the preferred source.
     both = hours.select("cell", "hour", F.lit(-1.0).alias("value"), F.lit(2).alias("priority"), F.lit(1).cast("long").alias("seq")).unionByName(hours.select("cell", "hour", "value", F.lit(1).alias("priority"), F.lit(2).cast("long").alias("seq")))
@@ -338,4 +332,4 @@ def streamed_windows(spark, sf):
     sink = Revisions(spark, f"{home}/state")
     run_available(spark.readStream.schema(both.schema).option("maxFilesPerTrigger", 4).parquet(f"{home}/in"), sink, f"{home}/offsets")
     got = sink.windows((24,))
-    return got.select("cell", epoch_hour(), settled("sum_24h"), settled("avg_24h"))
+    return got.select("cell", epoch_hour(), "sum_24h", "avg_24h")

@@ -1,9 +1,11 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import datetime
+import decimal
+import math
 import os
 
 import duckdb
-import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,16 +15,57 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def plain(v):
+    """A value as both engines give it: decimals and times as themselves, NaN as null."""
+    if isinstance(v, decimal.Decimal):
+        return float(v)
+    if isinstance(v, float) and math.isnan(v):
+        return None
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    return v
+
+
+def alike(a, b):
+    """Integers, texts and truth values exactly; floats to nine digits."""
+    if isinstance(a, bool) or isinstance(b, bool) or a is None or b is None:
+        return a is b
+    if isinstance(a, float) and isinstance(b, float):
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
+    return isinstance(a, str) == isinstance(b, str) and a == b
+
+
+def order(row):
+    return [(v is not None, "" if v is None else f"{v:.4g}" if isinstance(v, float) else f"{v:030d}" if isinstance(v, int) else str(v)) for v in sorted(row, key=lambda v: isinstance(v, float))]
+
+
+def compare(columns, got, other, want):
+    """Raises unless both have the same columns and rows, in any order."""
+    assert sorted(columns) == sorted(other)
+
+    def rows(names, data):
+        at = [names.index(c) for c in sorted(names)]
+        return sorted((tuple(plain(r[k]) for k in at) for r in data), key=order)
+
+    one, two = rows(columns, got), rows(other, want)
+    assert len(one) == len(two)
+    wrong = [(a, b) for a, b in zip(one, two, strict=True) if not all(map(alike, a, b))]
+    assert not wrong, wrong[:3]
+
+
 def same(spark_df, sql):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(sql)
+    compare(spark_df.columns, [tuple(r) for r in spark_df.collect()], [d[0] for d in found.description], found.fetchall())
 
-    def rows(df):
-        df = df[sorted(df.columns)]
-        return list(df.columns), sorted([tuple("" if pd.isna(v) else f"{float(v):.6g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df.astype(object).itertuples(index=False)])
 
-    assert rows(spark_df.toPandas()) == rows(con.execute(sql).df())
+@pytest.mark.parametrize("wrong", [1_700_000_001, 1_700_000_000.5, True, None, "1700000000"])
+def test_comparison_sees_a_wrong_value(wrong):
+    compare(["b", "a"], [("x", 1_700_000_000)], ["a", "b"], [(1_700_000_000, "x")])
+    with pytest.raises(AssertionError):
+        compare(["a"], [(1_700_000_000,)], ["a"], [(wrong,)])
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -25,7 +25,7 @@ def test_harmonized_types(spark):
 
 def test_summed_below_is_exact_over_parts(spark):
     df = spark.range(1000).selectExpr("cast(id * 7 % 1000 as double) as key", "id % 5 as w")
-    got = {r["key"]: r["below"] for r in ranking.summed_below(df, "key", "w", "below", 8).collect()}
+    got = {r["key"]: r["below"] for r in ranking.summed_below(df, [F.asc("key")], {"below": F.col("w")}).collect()}
     rows = sorted((r["key"], r["w"]) for r in df.collect())
     total = 0
     for key, w in rows:
