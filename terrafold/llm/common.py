@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, shared_path, staged
+
+__all__ = ["SPACE", "bounded_broadcast", "held_out", "hot_keys", "dealt", "repeated", "rows_of", "shared_dir", "shared_path", "small_batches", "spread", "staged", "table", "with_rows"]
+
 SPACE = "\\x20\\x09-\\x0D"
 BATCH_ROWS = 512
 SPREAD_ROWS = 100_000
-_made: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,68 +25,61 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without it."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        d = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
+    """Broadcast hint only for a frame whose counted rows are within the limit; else a shuffled join."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `_row`, a struct of all the other columns and doc_id as it is: what a pass over whole rows gets."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*rest).alias("_row"))
+
 
+def rows_of(docs: DataFrame) -> list:
+    """The columns of docs, from a frame with the text and `_row` of `with_rows`."""
+    return [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
 
+def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Of counts (keys, n: the rows of each key), the hot keys with the salts to deal them over; None if there are none.
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write to shared storage and read back: cuts lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    A key is hot if it has more rows than an average task, so there are fewer hot keys than tasks, whatever the data: that
+    bounds the list, which is broadcast.
+    """
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    if total <= SPREAD_ROWS:  # all of it fits one task
+        return None
+    usual = max(1, total // tasks)
+    hot = staged(counts.where(F.col("n") > usual).select(*keys, F.ceil(F.col("n") / usual).cast("int").alias("_salts")), "hot-keys")
+    return None if hot.isEmpty() else F.broadcast(hot)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session is gone; the folder belongs to the cluster
-            return
+def dealt(df: DataFrame, hot: DataFrame | None, keys: list[str], by: list[str]) -> DataFrame:
+    """df with `_salt`: for a hot key one of its salts, by a hash of the columns `by`; else 0."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    return df.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """Broadcast hint only for a frame whose counted rows are within the limit; else a shuffled join."""
-    return F.broadcast(df) if rows <= limit else df
+def repeated(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
+    """df with `_salt`: a row of a hot key once for each of its salts."""
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    return df.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
 
 
 def spread(big: DataFrame, small: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
-    """A join on keys in which the rows of a hot key are dealt over several tasks.
+    """A join on keys in which the rows of big with a hot key are dealt over several tasks.
 
-    A key is hot if it has more rows of big than an average task, so there are fewer hot keys than tasks, whatever the
-    data: that bounds their list, which is broadcast.  Rows of big with a hot key get a salt by a hash of `by`; rows of
-    small with it are repeated once per salt.  counts: keys and n, the rows of big by key, where they are known.
+    counts: keys and n, the rows of big by key, where they are known.  how: inner, left, left_semi or left_anti.
     """
-    tasks = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = big.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if total <= SPREAD_ROWS:  # all of it fits one task
-        return big.join(small, keys, how)
-    usual = max(1, int(total) // tasks)
-    hot = staged(counts.where(F.col("n") > usual).select(*keys, F.ceil(F.col("n") / usual).cast("int").alias("_salts")), "hot-keys")
-    if hot.isEmpty():
+    hot = hot_keys(counts, keys)
+    if hot is None:
         return big.join(small, keys, how)
-    hot = F.broadcast(hot)  # fewer rows than tasks
-    one = F.coalesce("_salts", F.lit(1))
-    dealt = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), one).cast("int")).drop("_salts")
-    copied = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_salts")
-    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")
+    return dealt(big, hot, keys, by).join(repeated(small, hot, keys), [*keys, "_salt"], how).drop("_salt")
 
 
 def held_out(doc_id, parts: int, part: int):
