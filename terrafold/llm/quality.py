@@ -8,8 +8,8 @@ see.  `max_labelled` bounds the labelled rows (a hash sample of all of them); sc
 
 Defined results: null text counts as empty, and empty texts get the score of their statistics; labels of null or other
 than 0 and 1 are left out; with labels of one class only, that class's share is the score of every text; rows that
-repeat a doc_id get the same score for the same text, and each label row with its text is a training row; an empty
-document table gives an empty result.  Scores depend on the text alone.
+repeat a doc_id get the same score for the same text, and one of their texts is used per label row; an empty document
+table gives an empty result.  Scores depend on the text alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, staged
+from .common import held_out, rows_of, small_batches, staged, with_rows
 
 STATS = 30
 SEED = 7
@@ -88,14 +88,15 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, bound: int) -> DataFrame:
-    """doc_id, text, label: at most about `bound` labelled rows that are not held out, taken by a hash of doc_id."""
+    """doc_id, text, label: at most about `bound` labelled rows that are not held out, taken by a hash of doc_id; one text for each."""
     y = F.col(label).cast("int")
     known = labels.select(F.col("doc_id").cast("long"), y.alias("label")).where("label in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"), parts, part)).distinct()
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * bound / n))
     # At most about `bound` ids and labels: a proven bound for the broadcast.
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, part: int = 1, features: int = 192, ridge: float = 0.02, max_labelled: int = 20_000) -> dict:
@@ -156,17 +157,34 @@ def scores_of(model: dict, stats: np.ndarray) -> np.ndarray:
     return np.clip(0.999 * np.interp(raw, model["kx"], model["ky"]) + 0.001 / (1 + np.exp(-4 * (raw - 0.5))), 0, 1)
 
 
+def _scored(model):
+    def run(batches):
+        for b in batches:
+            s = np.zeros(0)
+            if b.num_rows:
+                s = scores_of(model.value, np.array([statistics(t) for t in b.column(1).to_pylist()], float))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *b.columns[1:]], ["doc_id", "score", *b.schema.names[1:]])
+
+    return run
+
+
+def _results(threshold: float, parts: int, part: int) -> dict:
+    return {"held_out": held_out(F.col("doc_id"), parts, part), "predicted": (F.col("score") >= threshold).cast("int")}
+
+
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, parts: int = 3, part: int = 1, **options) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, parts, part, **options))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    out = texts.mapInArrow(lambda batches: (b.drop_columns(["text"]) for b in _scored(model)(batches)), "doc_id long, score double")
+    return out.withColumns(_results(threshold, parts, part)).select("doc_id", "held_out", "score", "predicted")
 
-    def scored(batches):
-        for b in batches:
-            s = np.zeros(0)
-            if b.num_rows:
-                s = scores_of(model.value, np.array([statistics(t) for t in b.column(1).to_pylist()], float))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def scored_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, parts: int = 3, part: int = 1, result: str = "quality", **options) -> DataFrame:
+    """Whole rows of docs, each with its own result: a struct of held_out, score and predicted. Nothing is joined by id."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, parts, part, **options))
+    rows = with_rows(docs)
+    out = rows.mapInArrow(_scored(model), f"doc_id long, score double, text string, _row {rows.schema['_row'].dataType.simpleString()}")
+    return out.withColumns(_results(threshold, parts, part)).select(*rows_of(docs), F.struct("held_out", "score", "predicted").alias(result))
