@@ -1,21 +1,25 @@
 """Toxicity by a subsequence string kernel and Nyström landmarks (op6).
 
-The gap-weighted subsequence kernel compares a word with a landmark by their common subsequences of three characters,
-each weighted by how far it is stretched, so gapped words and inserted characters stay similar.  Landmarks are learned
-from labelled documents: character strings that cover the toxic ones and are rare in the others.  A document is the bag
-of its words; per landmark it has the largest of their kernel values and the logarithm of the sum of squares, whitened by the landmarks' own kernel
-(Nyström), and a linear support vector machine (squared hinge) on them is calibrated by isotonic regression.
+The gap-weighted subsequence kernel K compares two words by their common subsequences of three characters, each weighted
+by how far it is stretched, so gapped words and inserted characters stay similar.  A document is the set of its words,
+and the kernel of two documents is the sum of K^2 + K^4 (each scaled) over all pairs of their words: powers and sums of
+kernels are kernels, and high powers keep many faint similarities of a long text from adding up.
+
+Landmarks are learned from labelled documents: character strings that cover the toxic ones and are rare in the others.
+The Nyström map of a document is, for each power, its kernel values with all landmarks times the inverse square root of
+the landmarks' own kernel matrix.  A linear support vector machine (squared hinge) on it is calibrated by isotonic
+regression on labelled documents of its own.
 
 Only words that share a character trigram with a landmark, with at most one inserted character at each step, are
 compared, and all their kernel values count; a word without one has kernel values near 0.  Words over WIDTH characters are cut into pieces that
 overlap by a landmark of LONGEST characters with one inserted in every gap; runs of single characters are joined, and
 characters that no landmark has do not count as gaps.  Landmarks may be of any scripts.
 
-`landmarks` bounds how many strings are learned, those that cover most first; toxic words that share no trigram with any
-of them add nothing.  `max_labelled` bounds the labelled rows used (a hash sample); every text is scored whole.  Defined results: null or
-empty text has no words and gets the score of a text without landmarks; labels other than 0 and 1 are left out;
-without toxic labels every score is the share of toxic labels; repeated rows get equal scores; scores depend on the text
-alone.
+Bounds of the fit, all parameters: `max_labelled` labelled rows (a hash sample), `pool` strings that most toxic documents
+have as candidates, `landmarks` of them that cover most.  Toxic words that share no trigram with any landmark add
+nothing.  Every text is scored whole.  Defined results: null or empty text has no words and gets the score of a text
+without landmarks; labels other than 0 and 1 are left out; without toxic labels every score is the share of toxic
+labels; repeated rows get equal scores; scores depend on the text alone.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ from .quality import labelled_rows
 
 WIDTH = 24
 LONGEST = 10
-SEEDS = (4, 5, 6, 7)
+SHORTEST = 4
 START, STOP = "\x02", "\x03"  # bounds of a word, so that a landmark can be a beginning or an end
 STRIDE = WIDTH - (2 * LONGEST - 1) + 1  # of pieces: each gapped landmark is whole in one
 LANDMARKS = 60
+POOL = 20_000
+POWERS = (2, 4)
 SLOT_BITS = 18
 DECAY = 0.5
 STEPS = ((1, 2), (1, 3), (2, 3), (2, 4))
@@ -86,7 +92,7 @@ def kernel(x: np.ndarray, landmark: np.ndarray) -> np.ndarray:
 
 
 class Landmarks:
-    def __init__(self, strings: list[str]):
+    def __init__(self, strings: list[str], ridge: float = 0.05):
         self.strings = strings
         self.known = frozenset(c for s in strings for c in s)
         self.base = len(self.known) + 1
@@ -109,9 +115,18 @@ class Landmarks:
         wide = np.zeros((len(strings), WIDTH), self.ids.dtype)
         for k, c in enumerate(self.codes):
             wide[k, : len(c)] = c
-        k = np.array([kernel(wide, c) for c in self.codes]) / np.sqrt(np.outer(self.own, self.own))
-        values, vectors = np.linalg.eigh((k + k.T) / 2 + 0.05 * np.eye(len(k)))
-        self.white = np.kron(np.eye(2), vectors @ np.diag(np.maximum(values, 0.05) ** -0.5) @ vectors.T)
+        self.scale = float(np.sqrt(np.median(self.own)))
+        self.gram = np.array([kernel(wide, c) for c in self.codes]) / np.sqrt(np.outer(self.own, self.own))
+        n = len(strings)
+        self.white = np.zeros((n * len(POWERS), n * len(POWERS)))
+        for i, p in enumerate(POWERS):
+            self.white[i * n : (i + 1) * n, i * n : (i + 1) * n] = self._root(self.gram**p, ridge)
+
+    @staticmethod
+    def _root(k: np.ndarray, ridge: float) -> np.ndarray:
+        """The inverse square root of a kernel matrix."""
+        values, vectors = np.linalg.eigh((k + k.T) / 2 + ridge * np.eye(len(k)))
+        return vectors @ np.diag(np.maximum(values, ridge) ** -0.5) @ vectors.T
 
     def _trigram(self, a, b, c):
         base = np.uint64(self.base)
@@ -146,7 +161,7 @@ class Landmarks:
         return codes
 
     def similar(self, words: list[str]) -> dict[str, list[tuple[int, float]]]:
-        """Of words that come near a landmark: which, and how near (1: holds it whole)."""
+        """Of words that come near a landmark: which, and the kernel value over that of the landmark with itself (1: holds it once)."""
         out: dict[str, list[tuple[int, float]]] = {}
         for at in range(0, len(words), 65536):
             part = words[at : at + 65536]
@@ -156,12 +171,24 @@ class Landmarks:
             for k, landmark in enumerate(self.codes):
                 rows = some[(marks[some, k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1]
                 if len(rows):
-                    near = np.minimum(kernel(codes[rows], landmark) / self.own[k], 1)
+                    near = kernel(codes[rows], landmark) / self.own[k]
                     for r, value in zip(rows.tolist(), near.tolist(), strict=True):
                         out.setdefault(part[r], []).append((k, value))
         return out
 
 
+def columns_of(words: set[str], near: dict[str, list[tuple[int, float]]], landmarks: Landmarks) -> np.ndarray:
+    """The kernel values of one document with all landmarks, for each power: what the Nyström map multiplies."""
+    m = len(landmarks.strings)
+    out = np.zeros(m * len(POWERS))
+    for w in words & near.keys():
+        for k, s in near[w]:
+            x = s * np.sqrt(landmarks.own[k]) / landmarks.scale
+            for i, p in enumerate(POWERS):
+                out[i * m + k] += x**p
+    return out
+
+
 def bags(batches, landmarks: Landmarks):
     """(batch, matrix of kernel values per document). Words met before are not compared again."""
     far: set[str] = set()
@@ -175,15 +202,7 @@ def bags(batches, landmarks: Landmarks):
         near.update(landmarks.similar(fresh) if fresh else {})
         far |= new - near.keys()
         for b, docs in zip(held, every, strict=True):
-            m = len(landmarks.strings)
-            v = np.zeros((len(docs), 2 * m))
-            for r, words in enumerate(docs):
-                for w in words & near.keys():
-                    for k, s in near[w]:
-                        v[r, k] = max(v[r, k], s)
-                        v[r, m + k] += s * s
-            v[:, m:] = np.log1p(v[:, m:])
-            yield b, v
+            yield b, np.array([columns_of(words, near, landmarks) for words in docs]).reshape(len(docs), -1)
         if len(far) + len(near) > HELD_WORDS:
             far, near = set(), {}
 
@@ -199,11 +218,11 @@ def bags(batches, landmarks: Landmarks):
 
 
 def grams(words) -> set[str]:
-    return {w[k : k + n] for w in words for n in SEEDS for k in range(len(w) - n + 1)}
+    return {w[k : k + n] for w in words for n in range(SHORTEST, LONGEST + 1) for k in range(len(w) - n + 1)}
 
 
-def choose_landmarks(rows: DataFrame, least: int = 3, most: int = LANDMARKS) -> list[str]:
-    """Strings of 4 to LONGEST characters that cover the toxic documents of rows (doc_id, text, label)."""
+def choose_landmarks(rows: DataFrame, least: int = 3, most: int = LANDMARKS, pool: int = POOL) -> list[str]:
+    """Strings of SHORTEST to LONGEST characters that cover the toxic documents of rows (doc_id, text, label)."""
 
     def vocabulary(batches):
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -219,63 +238,56 @@ def choose_landmarks(rows: DataFrame, least: int = 3, most: int = LANDMARKS) ->
     def _counts(counts):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "clean", "toxic"])
 
-    seen = rows.select("doc_id", "text", "label").mapInArrow(vocabulary, "word string, clean long, toxic long")
-    seen = staged(seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "vocabulary")
-    common = {r[0] for r in seen.where("clean > 0.25 * toxic and toxic > 0").orderBy(F.desc("toxic"), "word").limit(50_000).collect()}
+    def words(batches):
+        for b in batches:
+            found = [list(words_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["doc_id", "words"])
 
-    def rare_words(batches):
+    def strings(batches):
         for b in batches:
-            keep = [sorted(w for w in words_of(t) if w not in common) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.list_(pa.string()))], ["words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(grams(w)) for w in b.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "grams"])
 
-    # At most max_labelled documents: the bound of the sample.
-    toxic = [r[0] for r in rows.where("label = 1").select("doc_id", "text").mapInArrow(rare_words, "words array<string>").collect()]
-    have = [grams(words) for words in toxic]
-    df = Counter(g for h in have for g in h)
-    asked = {g for g, n in df.items() if n >= least}
+    seen = rows.select("doc_id", "text", "label").mapInArrow(vocabulary, "word string, clean long, toxic long")
+    seen = staged(seen.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "vocabulary")
+    rare = seen.where("toxic > 0 and clean <= 0.25 * toxic").select("word")
+    toxic = rows.where("label = 1").select("doc_id", "text").mapInArrow(words, "doc_id long, words array<string>")
+    toxic = toxic.select("doc_id", F.explode("words").alias("word")).join(rare, "word", "left_semi").groupBy("doc_id").agg(F.collect_list("word").alias("words"))
+    have = staged(toxic.mapInArrow(strings, "doc_id long, grams array<string>"), "strings").select("doc_id", F.explode("grams").alias("gram"))
+    # The pool bounds what the driver and the closures hold.
+    df = {r[0]: r[1] for r in have.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "gram").limit(pool).collect()}
 
     def clean_counts(batches):
         counts: Counter = Counter()
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if n:
-                    for g in grams([w]) & asked:
-                        counts[g] += n
+                for g in grams([w]) & df.keys():
+                    counts[g] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["gram", "n"])
 
-    clean = {r[0]: r[1] for r in seen.select("word", "clean").mapInArrow(clean_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    good = {g for g in asked if clean.get(g, 0) <= df[g]}  # at least half of its documents are toxic
-    where = defaultdict(list)
-    for d, h in enumerate(have):
-        for g in h & good:
-            where[g].append(d)
-    covered = np.zeros(len(toxic), np.int32)
-    found: list[str] = []
-    live = dict(where)
+    clean = {r[0]: r[1] for r in seen.where("clean > 0").select("word", "clean").mapInArrow(clean_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    good = rows.sparkSession.createDataFrame([(g,) for g in sorted(df) if clean.get(g, 0) <= df[g]], "gram string")  # at least half of its documents are toxic
+    where = {r[0]: np.array(r[1]) for r in have.join(F.broadcast(good), "gram").groupBy("gram").agg(F.array_sort(F.collect_list("doc_id"))).collect()}
+    return covering(where, clean, least, most)
+
+
+def covering(where: dict[str, np.ndarray], clean: dict[str, int], least: int, most: int) -> list[str]:
+    """Greedy cover: each round takes the string with most documents that are not covered twice, less half its clean ones, as long as nine in ten of its documents go along."""
+    places = {d: k for k, d in enumerate(sorted({int(d) for docs in where.values() for d in docs}))}
+    live = {g: np.array([places[int(d)] for d in docs]) for g, docs in where.items()}
+    every, covered, found = dict(live), np.zeros(len(places), np.int32), []
     while live and len(found) < most:
         gain = {g: int((covered[d] < 2).sum()) - clean.get(g, 0) // 2 for g, d in live.items()}
-        g = max(gain, key=lambda k: (gain[k], k))
+        g = max(gain, key=lambda k: (gain[k], len(k), k))
         if gain[g] < least:
             break
-        whole = _longest(g, [toxic[d] for d in live[g]])
+        wider = [h for h in live if g in h and len(every[h]) >= 0.9 * len(every[g])]
+        whole = max(wider, key=lambda h: (len(h), len(every[h]), h))
         found.append(whole)
-        covered[live[g]] += 1
-        live = {h: d for h, d in live.items() if h not in whole and gain[h] >= least}
+        covered[every[g]] += 1
+        live = {h: d for h, d in live.items() if h not in whole and h != g and gain[h] >= least}
     return found
 
 
-def _longest(gram: str, docs: list[list[str]]) -> str:
-    """The gram widened as long as nine in ten of its words go along."""
-    words = [w for d in docs for w in d if gram in w]
-    while len(gram) < LONGEST:
-        wider = Counter(x for w in words for x in {w[k - 1 : k + len(gram)] for k in range(1, len(w)) if w.startswith(gram, k)} | {w[k : k + len(gram) + 1] for k in range(len(w) - len(gram)) if w.startswith(gram, k)})
-        best, n = max(wider.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if n < 0.9 * len(words):
-            return gram
-        gram = best
-    return gram
-
-
 def train(v: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 30) -> np.ndarray:
     """Linear support vector machine with squared hinge loss by Newton steps; the last weight is the bias."""
     x = np.hstack([v, np.ones((len(v), 1))])
@@ -304,11 +316,11 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e for p in pools for e in p[:2]]), np.array([p[2] / p[3] for p in pools for _ in range(2)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_labelled: int = 16_000, landmarks: int = LANDMARKS) -> dict:
-    rows = labelled_rows(docs, labels, label, parts, part, max_labelled)
-    share = rows.agg(F.avg("label")).first()[0] or 0.0
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_labelled: int = 16_000, landmarks: int = LANDMARKS, pool: int = POOL) -> dict:
     own = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) == 0
-    strings = choose_landmarks(rows.where(~own), most=landmarks) if 0 < share < 1 else []
+    rows = staged(labelled_rows(docs, labels, label, parts, part, max_labelled).select("doc_id", "text", "label", own.alias("own")), "labelled-texts")
+    share = rows.agg(F.avg("label")).first()[0] or 0.0
+    strings = choose_landmarks(rows.where("not own"), most=landmarks, pool=pool) if 0 < share < 1 else []
     if not strings:
         return {"constant": float(share)}
 
@@ -316,8 +328,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4
         for b, v in bags(batches, Landmarks(strings)):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(list(v), pa.list_(pa.float64()))], ["doc_id", "label", "own", "v"])
 
-    seen = rows.select("doc_id", "text", "label", own.alias("own")).mapInArrow(values, "doc_id long, label int, own boolean, v array<double>")
-    seen = sorted(seen.collect(), key=lambda r: (r["doc_id"], r["label"], r["v"]))  # bounded by max_labelled
+    seen = rows.mapInArrow(values, "doc_id long, label int, own boolean, v array<double>")
+    seen = sorted(seen.collect(), key=lambda r: (r["doc_id"], r["label"], r["v"]))  # one row per label, of about max_labelled
     v, y, held = np.array([r["v"] for r in seen]), np.array([r["label"] for r in seen]), np.array([r["own"] for r in seen])
     white = Landmarks(strings).white
     w = train(v[~held] @ white, y[~held])
