@@ -57,6 +57,17 @@ def op10_exact_dedup(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_ngram_jaccard_join, op4_warc, op5_benchmark_decontamination, op6_toxicity, op7_url_filters, op8_mixing, op9_line_dedup, op10_exact_dedup)}
 ORACLE: dict[str, str] = {}
 
+ORACLE["op4_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS h FROM p),
+b AS (SELECT h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 10 * (k // 8), 10))::BIGINT >> (35 - 5 * (k % 8))) & 31), 1) for k in range(32)], '') AS payload_digest
+  FROM (SELECT DISTINCT h FROM d)),
+f AS (SELECT h, min(page_id) AS first_id FROM d GROUP BY h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM d JOIN b USING (h) JOIN f USING (h)
+"""
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLE["op3_ngram_jaccard_join"] = rf"""
@@ -95,14 +106,14 @@ WITH r(rh, rp, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in
 u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
 SELECT page_id, host, path, rh || rp AS rule, coalesce(v, 'allow') AS verdict FROM (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS k
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST, v DESC, length(rh) DESC) AS k
   FROM s LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) WHERE k = 1
 """
 
 ORACLE["op8_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 9))::BIGINT AS h FROM documents),
 z AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM z),
 o AS (
@@ -122,10 +133,13 @@ SELECT d.doc_id, d.size, c.source_size, c.target, (d.size * (c.copies + CASE WHE
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source JOIN e ON d.source IS NOT DISTINCT FROM e.source AND d.h = e.h
 """
 
+_HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
+_BLOCK = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|table|tr|td|nav|article|section|footer|header|head|body|title|html)\b[^>]*>"
+
 ORACLE["op9_line_dedup"] = rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host,
-    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{line_dedup.HIDDEN}', '', 'g'), '{line_dedup.BLOCK}', chr(10), 'g'), '{line_dedup.TAG}', '', 'g') AS plain FROM pages),
+    regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_HIDDEN}', '', 'g'), '{_BLOCK}', chr(10), 'g'), '<[^>]*>', '', 'g') AS plain FROM pages),
 x AS (SELECT row_number() OVER () AS r, page_id, host, [trim(y) for y in string_split(plain, chr(10)) if trim(y) != ''] AS lines FROM u),
 t AS (SELECT host, count(*) AS n FROM x GROUP BY host),
 c AS (SELECT host, line, count(*) AS c FROM (SELECT DISTINCT r, host, unnest(lines) AS line FROM x) GROUP BY host, line),
