@@ -1,8 +1,9 @@
-"""Configuration, cancellation, memoization and progress (CTL-01..04, TMP-12)."""
+"""Configuration, cancellation, bounded job pools, memoization and progress (CTL-01..04, TMP-12)."""
 
 from __future__ import annotations
 
 import os
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from contextlib import contextmanager
 from dataclasses import dataclass, fields
 
@@ -45,6 +46,33 @@ def cancel(spark: SparkSession, tag: str) -> list[str]:
     return spark.interruptTag(tag)
 
 
+def memory_share() -> float:
+    """The share of the driver machine's memory that is in use."""
+    page, total, free = (os.sysconf(n) for n in ("SC_PAGE_SIZE", "SC_PHYS_PAGES", "SC_AVPHYS_PAGES"))
+    return 1 - free * page / (total * page)
+
+
+def run_bounded(tasks, workers: int = 4, pending: int = 4, watermark: float = 0.8, used=memory_share, pause: float = 0.05):
+    """CTL-02: the results of tasks (callables that start Spark jobs), in the order in which they end.
+
+    At most workers * pending tasks are waiting; while memory in use is above the watermark and something runs, no new one
+    is taken.  Executors schedule the jobs' own work; this bounds what the driver starts at once.
+    """
+    source, running = iter(tasks), set()
+    with ThreadPoolExecutor(workers) as pool:
+        more = True
+        while more or running:
+            while more and len(running) < workers * pending and not (running and used() > watermark):
+                task = next(source, None)
+                if task is None:
+                    more = False
+                else:
+                    running.add(pool.submit(task))
+            ended, running = wait(running, timeout=pause if more else None, return_when=FIRST_COMPLETED)
+            for f in ended:
+                yield f.result()
+
+
 class Memo:
     """CTL-03: frames that are read again and again stay cached until they are released; storage may spill to disk."""
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import staged
 from .ranking import numbered, summed_below
 
 SEED = 42
@@ -71,6 +72,16 @@ def pruned(df: DataFrame, features: list[str]) -> list[str]:
     return [c for c in features if row[c]]
 
 
+def imputed(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """ML-03: missing numbers by the column's median, missing classes by its most frequent class, the first of equals."""
+    row = df.agg(*[F.median(c).alias(c) for c in numeric]).first() if numeric else {}
+    out = df.withColumns({c: F.coalesce(c, F.lit(row[c])) for c in numeric})
+    for c in categorical:
+        n = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n"))
+        out = out.withColumn(c, F.coalesce(c, F.lit(n.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c)))).first()[0])))
+    return out
+
+
 def pipeline(numeric: list[str], categorical: list[str], kind: str = "boosted", trees: int = 300) -> Pipeline:
     """ML-03/04: median and index imputation, one-hot classes, then boosted trees or a penalised logistic model."""
     stages: list = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}_i" for c in numeric])] if numeric else []
@@ -89,7 +100,7 @@ def scored(model, df: DataFrame) -> DataFrame:
 
 def metrics(df: DataFrame) -> DataFrame:
     """ML-05: accuracy at 0.5, log loss and rank AUC of columns score, label, in one aggregation per distinct score."""
-    by = df.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
+    by = staged(df.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos")), "scores")  # the model runs once
     run = summed_below(by, [F.asc("score")], {"_below": F.col("n")})
     p = F.least(F.greatest(F.col("score"), F.lit(1e-15)), F.lit(1 - 1e-15))
     agg = run.agg(F.sum("n").alias("n"), F.sum("pos").alias("p"), (F.sum(F.when(F.col("score") >= 0.5, F.col("pos")).otherwise(F.col("n") - F.col("pos"))) / F.sum("n")).alias("accuracy"), (-F.sum(F.col("pos") * F.ln(p) + (F.col("n") - F.col("pos")) * F.ln(1 - p)) / F.sum("n")).alias("log_loss"), F.sum(F.col("pos") * (F.col("_below") + (F.col("n") + 1) / 2)).alias("_r"))

@@ -35,15 +35,27 @@ def slope_aspect(cells: DataFrame, cell_metres: float) -> DataFrame:
     return n.select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"), aspect.alias("aspect"))
 
 
-def central_gradient(cells: DataFrame, cell_metres: float) -> DataFrame:
-    """MTH-08: central differences inside, one-sided at the edges."""
+#: Fixed value: metres per degree of latitude.
+METRES_PER_DEGREE = 111_320.0
+
+
+def central_gradient(cells: DataFrame, cell_degrees: float, top: float, rows: int) -> DataFrame:
+    """MTH-08: slope and aspect by central differences, one-sided at the edges, of a grid in degrees whose first row begins at
+    latitude `top`; east-west metres are those of the grid's middle row; no aspect where the slope is 0.001 or less."""
+    import math
+
+    middle = top - cell_degrees * rows / 2
+    dy_metres, dx_metres = cell_degrees * METRES_PER_DEGREE, cell_degrees * METRES_PER_DEGREE * max(0.01, math.cos(math.radians(middle)))
     r, c = Window.partitionBy("col").orderBy("row"), Window.partitionBy("row").orderBy("col")
 
-    def diff(w):
+    def diff(w, metres):
         a, b = F.lag("value").over(w), F.lead("value").over(w)
-        return F.when(a.isNull(), b - F.col("value")).when(b.isNull(), F.col("value") - a).otherwise((b - a) / 2) / cell_metres
+        return F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b - F.col("value")).when(b.isNull(), F.col("value") - a).otherwise((b - a) / 2) / metres
 
-    return cells.withColumns({"dy": diff(r), "dx": diff(c)})
+    got = cells.withColumns({"dy": diff(r, dy_metres), "dx": diff(c, dx_metres)})
+    slope = F.degrees(F.atan(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)))
+    aspect = F.pmod(90 - F.degrees(F.atan2(F.col("dy"), -F.col("dx"))), F.lit(360.0))
+    return got.withColumn("slope", slope).select("row", "col", "slope", F.when(F.col("slope") > 0.001, aspect).alias("aspect"))
 
 
 def overview(cells: DataFrame, factor: int, categorical: bool = False) -> DataFrame:

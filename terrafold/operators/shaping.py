@@ -161,3 +161,33 @@ def first_source(*parts: DataFrame) -> DataFrame:
     tagged = reduce(DataFrame.unionByName, [p.select("taxon_key", "value", F.lit(k).alias("_s")) for k, p in enumerate(parts)])
     best = tagged.groupBy("taxon_key").agg(F.min("_s").alias("_s"))
     return tagged.join(best, ["taxon_key", "_s"], "left_semi").withColumnRenamed("_s", "source")
+
+
+def run_lengths(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """WIN-09: runs of equal neighbours in an order: start (0-based place in the group), n and the value of each run."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
+    marked = rows.select(*keys, *order, F.col(value).alias("_v"), changed.alias("_c"), (F.row_number().over(w) - 1).cast("long").alias("_p"))
+    marked = marked.withColumn("_run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.groupBy(*keys, "_run").agg(F.min("_p").alias("start"), F.count("*").alias("n"), F.first("_v").alias(value)).drop("_run")
+
+
+def packed(rows: DataFrame, keys: list[str], column: str, fields: list[str], order: list[str]) -> DataFrame:
+    """ARR-01: per key and column one array of structs in order: for groups of a bounded size, such as an upload's."""
+    got = rows.groupBy(*keys, column).agg(F.array_sort(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias("entries"))
+    return got.select(*keys, column, F.transform("entries", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("entries"))
+
+
+def unpacked(rows: DataFrame, entries: str = "entries") -> DataFrame:
+    """ARR-01: the fields of each entry with its place."""
+    rest = [c for c in rows.columns if c != entries]
+    return rows.select(*rest, F.posexplode(entries).alias("pos", "_e")).select(*rest, "pos", "_e.*")
+
+
+def padded(rows: DataFrame, keys: list[str], entries: str = "entries") -> DataFrame:
+    """ARR-03: the arrays of a key as long as its longest, filled with nulls, and their true length."""
+    longest = rows.groupBy(*keys).agg(F.max(F.size(entries)).alias("_m"))
+    missing = F.array_repeat(F.lit(None).cast(rows.schema[entries].dataType.elementType), F.col("_m") - F.size(entries))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys])
+    got = rows.alias("r").join(longest.alias("l"), same).select("r.*", "_m")
+    return got.select(*[c for c in rows.columns if c != entries], F.size(entries).alias("length"), F.concat(entries, missing).alias(entries))

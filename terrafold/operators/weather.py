@@ -14,6 +14,17 @@ def hourly(points: DataFrame, keys: list[str], time: str, value: str, how=F.avg)
     return points.groupBy(*keys, F.date_trunc("HOUR", F.col(time).cast("timestamp_ntz").cast("timestamp")).alias("hour")).agg(how(value).alias("value"))
 
 
+def observation_index(rows: DataFrame, time: str, lat: str, lon: str) -> DataFrame:
+    """TMP-01: rows that have a time and a place, which is what weather can be joined to."""
+    return rows.where(F.col(time).isNotNull() & F.col(lat).isNotNull() & F.col(lon).isNotNull())
+
+
+def accumulated(series: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """TMP-03: per key the sum of the values in [start, end), NaN as 0, and the number of hours that have a row."""
+    rows = series.where((F.col("hour") >= F.lit(start).cast("timestamp")) & (F.col("hour") < F.lit(end).cast("timestamp")))
+    return rows.groupBy(*keys).agg(F.sum(F.nanvl("value", F.lit(0.0))).alias("total"), F.count_distinct("hour").alias("hours"))
+
+
 def preferred(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """TMP-04/07: per key and hour the first source's value where it has one: a revision, not a drop of late rows."""
     both = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1))).where("value is not null")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..control import Memo
 from ..functions.science import SPREADS, convert
-from ..functions.text import adjusted_score, normalized, slug, token_set_ratio
-from ..operators import filters, hierarchy, ranking, statistics
+from ..functions.text import adjusted_score, normalized, slug, token_set_ratio, without_accents
+from ..operators import filters, hierarchy, joins, narrative, ranking, statistics
 
 
 @dataclass(frozen=True)
@@ -24,12 +25,14 @@ class Catalog:
 
 
 def resolve_taxon(catalog: Catalog, reference: str) -> DataFrame:
-    """HIE-16/17: an exact key first; a text with spaces is never a slug; an ambiguous slug gives all its taxa."""
+    """HIE-17: an exact key first; a text with spaces is never a slug; a slug of several taxa raises an error."""
     by_key = catalog.taxon.where(F.col("taxon_key") == reference).withColumn("_o", F.lit(0))
     if " " in reference:
         return by_key.drop("_o")
     by_slug = catalog.taxon.where(slug(F.col("scientific_name")) == reference).withColumn("_o", F.lit(1))
     both = by_key.unionByName(by_slug)
+    if by_key.isEmpty() and len(taxa := by_slug.select("taxon_key").distinct().limit(6).collect()) > 1:
+        raise ValueError(f"{reference!r} is the slug of several taxa: {', '.join(sorted(r[0] for r in taxa)[:5])}")
     return both.join(F.broadcast(both.agg(F.min("_o").alias("_m"))), F.col("_o") == F.col("_m"), "left_semi").drop("_o")
 
 
@@ -111,16 +114,218 @@ def in_units(summary: DataFrame, unit: str, system: str) -> DataFrame:
     return summary.withColumns({c: convert(F.col(c), unit, system, c in SPREADS) for c in summary.columns if c not in ("taxon_key", "n")})
 
 
+def environment_response(catalog: Catalog, taxon_key: str, variable: str, kind: str = "numeric", gid: str | None = None, regions: tuple[str, ...] = (), unit: str | None = None, system: str = "metric", ranks: DataFrame | None = None, legend: DataFrame | None = None) -> DataFrame:
+    """API-02: one row: taxon_key, variable, kind, all_obscured, n, summary, curve, distribution, baseline, ranks.
+
+    `summary` is a struct of statistics in the asked units, null for categories; `curve` the density (points, values,
+    bandwidth); `distribution` the class shares, largest first, and with a location `baseline` those of all places; `ranks`
+    the places of the taxon in its contexts (from a rank index), only without a location.  If there are rows but all are
+    obscured, only all_obscured is told; without any value LookupError is raised.
+    """
+    rows = hierarchy.in_subtree(catalog.occurrence, catalog.closure, taxon_key)
+    where = filters.location_column(gid, regions) if gid is not None else None
+    if gid is not None and where is None:
+        raise ValueError(f"{gid!r} is no location id")
+    here = rows if where is None else rows.where(F.col(where[0]) == where[1])
+    hidden = F.col("obscured") != "No" if "obscured" in rows.columns else F.lit(False)
+    good = filters.visible(here)
+    total, shown = here.agg(F.count("*"), F.count_if(~F.coalesce(hidden, F.lit(True)))).first()
+    n = good.agg(F.count(filters.clean(F.col(variable)) if kind != "categorical" else F.col(variable))).first()[0]
+    head = rows.sparkSession.range(1).select(F.lit(taxon_key).alias("taxon_key"), F.lit(variable).alias("variable"), F.lit(kind).alias("kind"), F.lit(total > 0 and shown == 0 and n == 0).alias("all_obscured"), F.lit(n).alias("n"))
+    if not n and not (total > 0 and shown == 0):
+        raise LookupError(f"no samples of {variable!r} for taxon {taxon_key}")
+    shares, numbers = None, None
+    if n and kind == "categorical":
+        shares = _shares(good, taxon_key, variable, legend).withColumnRenamed("shares", "distribution")
+        if where is not None:
+            shares = shares.join(_shares(filters.visible(rows), taxon_key, variable, legend).withColumnRenamed("shares", "baseline"), "taxon_key")
+    elif n:
+        values = good.select(F.lit(taxon_key).alias("taxon_key"), F.col(variable).cast("double").alias("value"))
+        summary = statistics.circular(values, ["taxon_key"]) if kind == "circular" else statistics.summary(values, ["taxon_key"])
+        curve = statistics.density(values, ["taxon_key"], ring=kind == "circular")
+        if unit:
+            summary, curve = in_units(summary, unit, system), curve_in_units(curve, unit, system)
+        points = F.array_sort(F.collect_list(F.struct("i", "x", "density")))
+        curve = curve.groupBy("taxon_key").agg(points.alias("p"), F.max("bandwidth").alias("b"))
+        curve = curve.select("taxon_key", F.struct(F.transform("p", lambda p: p["x"]).alias("points"), F.transform("p", lambda p: p["density"]).alias("density"), F.col("b").alias("bandwidth")).alias("curve"))
+        numbers = summary.select("taxon_key", F.struct(*[c for c in summary.columns if c != "taxon_key"]).alias("summary")).join(curve, "taxon_key")
+    out = head
+    for part in (numbers, shares):
+        out = out.join(part, "taxon_key", "left") if part is not None else out
+    if ranks is not None and where is None:
+        own = ranks.where((F.col("taxon_key") == taxon_key) & (F.col("variable") == variable))
+        own = own.groupBy("taxon_key").agg(F.array_sort(F.collect_list(F.struct("context", "metric", "pos", "cnt", "percentile"))).alias("ranks"))
+        out = out.join(own, "taxon_key", "left")
+    for name in ("summary", "curve", "distribution", "baseline", "ranks"):
+        if name not in out.columns:
+            out = out.withColumn(name, F.lit(None).cast("string"))
+    return out
+
+
+def _shares(rows: DataFrame, taxon_key: str, variable: str, legend: DataFrame | None) -> DataFrame:
+    """taxon_key and one array of the variable's classes: class, name, share, cnt, place."""
+    got = statistics.distribution(statistics.category_metrics(rows.withColumn("_all", F.lit(taxon_key)), ["_all"], variable), ["_all"])
+    if legend is None:
+        got = got.withColumn("class_name", F.col("class"))
+    else:
+        got = joins.with_legend(got, legend, F.col("class"))
+    entry = F.struct("place", "class", "class_name", "share", "cnt")
+    return got.groupBy(F.col("_all").alias("taxon_key")).agg(F.array_sort(F.collect_list(entry)).alias("shares"))
+
+
+def curve_in_units(curve: DataFrame, unit: str, system: str) -> DataFrame:
+    """MTH-15: points by factor and offset, densities over the factor, bandwidths by the factor."""
+    factor = convert(F.lit(1.0), unit, system, True)
+    return curve.withColumns({"x": convert(F.col("x"), unit, system), "density": F.col("density") / F.abs(factor), "bandwidth": F.col("bandwidth") * F.abs(factor)})
+
+
 def occurrence_points(catalog: Catalog, taxon_key: str) -> DataFrame:
     """API-05, AGG-34: distinct visible points of a subtree, the first by id."""
     rows = hierarchy.in_subtree(filters.visible(catalog.occurrence), catalog.closure, taxon_key)
     return rows.groupBy("obs_id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("obs_id", "p.*")
 
 
-def taxon_locations(catalog: Catalog, locations: DataFrame, taxon_key: str, limit: int = 100) -> DataFrame:
-    """API-06, SRT-05: locations of a taxon by count, name and id, of which a report shows the first."""
-    counts = catalog.membership.where(F.col("taxon_key") == taxon_key).groupBy("scope", "gid").agg(F.sum("cnt").alias("cnt"))
-    return counts.where("cnt > 0").join(locations.select("gid", "name"), "gid").orderBy(F.desc("cnt"), F.lower("name"), "gid").limit(limit)
+#: Names of the levels of places.
+LEVELS = {"continent": -1, "country": 0, "state": 1, "county": 2}
+
+
+def level_number(level: str | int | None) -> int | None:
+    """API-06/07: a level by its number or name; None for other texts."""
+    if level is None or isinstance(level, int):
+        return level
+    text = level.strip()
+    return int(text) if text.lstrip("-").isdigit() else LEVELS.get(text.lower())
+
+
+def located(locations: DataFrame) -> DataFrame:
+    """HIE-09: locations (gid, name, level, parent_gid, ...) with `ancestors`, structs (gid, name, level) from the root to the
+    parent, and `hierarchy`, their names.  Places lie four levels deep at most."""
+    out, up = locations.withColumn("_up", F.col("parent_gid")), []
+    for k in range(1, 4):
+        above = locations.select(F.col("gid").alias(f"_g{k}"), F.struct("gid", "name", "level").alias(f"_a{k}"), F.col("parent_gid").alias(f"_p{k}"))
+        out = out.join(above, F.col("_up") == F.col(f"_g{k}"), "left").withColumn("_up", F.col(f"_p{k}"))
+        up.append(F.col(f"_a{k}"))
+    out = out.withColumn("ancestors", F.array_compact(F.array(*reversed(up))))
+    return out.select(*locations.columns, "ancestors", F.transform("ancestors", lambda a: a["name"]).alias("hierarchy"))
+
+
+def _below_all(places: DataFrame, locations: DataFrame, parents: list[str]) -> DataFrame:
+    """JON-19: places for which every parent token, a name or id, names the place itself or one above it."""
+    for token in parents:
+        t = token.lower()
+        # A token that is an id stands for its name too.
+        named = [r[0].lower() for r in locations.where(F.col("gid").isin(token, token.upper())).select("name").distinct().collect()]
+        own = F.array(F.lower("gid"), F.lower("name"))
+        every = F.concat(own, F.transform("ancestors", lambda a: F.lower(a["gid"])), F.transform("ancestors", lambda a: F.lower(a["name"])))
+        places = places.where(F.arrays_overlap(every, F.array(*map(F.lit, [t, *named]))))
+    return places
+
+
+def search_locations(locations: DataFrame, text: str, limit: int = 10) -> DataFrame:
+    """API-07, STR-10, SRT-07: places whose name holds the text, accents and case aside, the first in the catalogue's order (ordinal)."""
+    wanted = without_accents(F.lit(text))
+    found = locations.where((F.lit(text.strip()) != "") & F.contains(without_accents(F.col("name")), wanted))
+    return located_page(found, locations, limit)
+
+
+def located_page(found: DataFrame, locations: DataFrame, limit: int) -> DataFrame:
+    every = located(locations.select("gid", "name", "level", "parent_gid")).select("gid", "ancestors", "hierarchy").dropDuplicates(["gid"])
+    return found.join(every, "gid").orderBy("ordinal").limit(limit).select("gid", "name", "level", "hierarchy", "ordinal")
+
+
+def search_hierarchy(locations: DataFrame, text: str = "", level: str | int | None = None, parents: tuple[str, ...] = (), limit: int = 50) -> DataFrame:
+    """API-07, SRT-10: places by text, level and parents, the first `limit` that fit all of them.
+
+    Without a text: the places of the level; if none of them fits, the places below a parent, by id, then parent's name,
+    then any name above; if there are none either, all places, by the first letter of the alphabet that their name holds.
+    Nothing asked gives nothing.
+    """
+    want, tokens = level_number(level), [p.strip() for p in parents if p.strip()]
+    places = located(locations)
+    if not text.strip() and not tokens and want is None:
+        return places.where("false").select("gid", "name", "level", "hierarchy", "ordinal")
+    fit = _below_all(places, locations, tokens)
+    at_level = fit if want is None else fit.where(F.col("level") == want)
+    columns = ["gid", "name", "level", "hierarchy", "ordinal"]
+    if text.strip():
+        found = at_level.where(F.contains(without_accents(F.col("name")), without_accents(F.lit(text))))
+        return found.orderBy("ordinal").limit(limit).select(*columns)
+    way = F.when(F.lit(want is not None), 1)
+    for token in tokens:
+        t = token.lower()
+        below = F.when(F.startswith(F.lower("gid"), F.lit(t + ".")), 2).when(F.lower(F.try_element_at("hierarchy", F.lit(-1))) == t, 3).when(F.exists("hierarchy", lambda h: F.lower(h) == t), 4)
+        way = F.coalesce(way, below)
+    letters = F.array_min(F.filter(F.split(without_accents(F.col("name")), ""), lambda c: c.rlike("^[a-z]$")))
+    rows = at_level.withColumns({"_way": F.coalesce(way, F.when(letters.isNotNull(), 5)), "_letter": letters}).where("_way is not null")
+    best = rows.agg(F.min("_way")).first()[0]
+    order = ["_letter", "ordinal"] if best == 5 else ["ordinal"]
+    return rows.where(F.col("_way") == F.lit(best)).orderBy(*order).limit(limit).select(*columns)
+
+
+def location_detail(locations: DataFrame, gid: str) -> DataFrame:
+    """API-07: one place with its ancestors; the id also in capitals; an unknown one raises LookupError."""
+    asked = gid.strip()
+    found = [r[0] for r in locations.where(F.col("gid").isin(asked, asked.upper())).select("gid").distinct().collect()]
+    if not found:
+        raise LookupError(f"no place {gid!r}")
+    return located(locations).where(F.col("gid") == (asked if asked in found else found[0])).select("gid", "name", "level", "parent_gid", "hierarchy", "ancestors")
+
+
+def taxon_locations(catalog: Catalog, locations: DataFrame, taxon_key: str, level: str | int | None = None, parents: tuple[str, ...] = (), limit: int = 500, scopes: dict[str, int] | None = None) -> DataFrame:
+    """API-06, SRT-05: places of a taxon by count, name and id, of which a report shows the first; scopes: scope -> level.
+    Ids that no catalogue knows are their own names; invalid ones go."""
+    scopes = scopes or {"gbif_region": -1, "level0": 0, "level1": 1, "level2": 2}
+    want = level_number(level)
+    number = F.create_map(*[F.lit(x) for pair in scopes.items() for x in pair])
+    counts = catalog.membership.where(F.col("taxon_key") == taxon_key).withColumn("level", number[F.col("scope")]).where("level is not null")
+    counts = counts.where(~F.lower(F.trim("gid")).isin(*filters.NO_LOCATION))
+    counts = counts.groupBy("level", "gid").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+    counts = counts if want is None else counts.where(F.col("level") == want)
+    known = located(locations).select("gid", "name", "ancestors", "hierarchy")
+    none = F.array().cast(known.schema["ancestors"].dataType)
+    rows = counts.join(known, "gid", "left").withColumns({"name": F.coalesce("name", "gid"), "ancestors": F.coalesce("ancestors", none), "hierarchy": F.coalesce("hierarchy", F.array().cast("array<string>"))})
+    rows = _below_all(rows, locations, [p.strip() for p in parents if p.strip()])
+    return rows.orderBy(F.desc("cnt"), F.lower("name"), "gid").limit(limit).select("gid", "name", "level", "hierarchy", "cnt")
+
+
+def once_more(build, refresh=lambda: None):
+    """API-11: what build gives; if it fails, once more after a refresh."""
+    try:
+        return build()
+    except Exception:
+        refresh()
+        return build()
+
+
+@dataclass
+class Stats:
+    """API-11: the stored statistics of taxa, each table read once and kept; a failed read is tried once more."""
+
+    spark: SparkSession
+    path: str
+
+    def __post_init__(self):
+        self.memo = Memo()
+
+    def table(self, name: str) -> DataFrame:
+        at = f"{self.path}/{name}"
+
+        def build():
+            return self.memo.get(name, lambda: self.spark.read.parquet(at))
+
+        return once_more(build, lambda: self.spark.catalog.refreshByPath(at))
+
+    def numeric(self, taxon_key: str, variable: str) -> DataFrame:
+        """The stored summary with the ranges that follow from it."""
+        row = self.table("summary").where((F.col("taxon_key") == taxon_key) & (F.col("variable") == variable))
+        return row.withColumns({n: F.col(a) - F.col(b) for n, a, b in statistics.SPANS})
+
+    def curve(self, taxon_key: str, variable: str) -> DataFrame:
+        return self.table("density").where((F.col("taxon_key") == taxon_key) & (F.col("variable") == variable))
+
+    def categories(self, taxon_key: str, variable: str) -> DataFrame:
+        rows = self.table("categories").where((F.col("taxon_key") == taxon_key) & (F.col("variable") == variable))
+        return statistics.distribution(rows.drop("variable"), ["taxon_key"])
 
 
 def serialized(taxon: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
@@ -140,17 +345,8 @@ def location_sentence(counts: DataFrame, names: int = 3) -> DataFrame:
     return got.select("taxon_key", F.when(F.col("_n") > names, F.concat(text, F.lit(" and other places"))).otherwise(text).alias("sentence"))
 
 
-#: Share of a class and the word for it.
-FREQUENCY = [(1.0, "only"), (0.8, "almost always"), (0.5, "mostly"), (0.3, "often"), (0.2, "sometimes"), (0.1, "occasionally")]
-
-
-def category_phrase(shares: DataFrame) -> DataFrame:
-    """DSC-01: taxon_key, class_name, share -> the leading class and how often, and a second one from 2 percent on."""
-    from ..functions.science import stepped
-
-    s = shares.groupBy("taxon_key", "class_name").agg(F.sum("share").alias("share"))
-    order = Window.partitionBy("taxon_key").orderBy(F.desc("share"), "class_name")
-    s = s.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
-    g = s.groupBy("taxon_key").agg(F.max(F.when(F.col("_r") == 1, F.struct("class_name", "share"))).alias("a"), F.max(F.when((F.col("_r") == 2) & (F.col("share") >= 0.02), F.struct("class_name", "share"))).alias("b"))
-    word = stepped(F.round("a.share", 9), FREQUENCY, "rarely")
-    return g.select("taxon_key", F.concat(word, F.lit(" in "), F.col("a.class_name"), F.coalesce(F.concat(F.lit(", also in "), F.col("b.class_name")), F.lit(""))).alias("phrase"))
+def species_detail(taxon: DataFrame, groups: list[tuple[str, str]], sections: dict[str, DataFrame], models: DataFrame) -> DataFrame:
+    """API-08: the taxon for display, its profile (sections by name, of taxon_key and text) and the names of its models."""
+    known = models.groupBy("taxon_key").agg(F.array_sort(F.collect_set("name")).alias("models"))
+    shown = serialized(taxon, groups).join(narrative.profile("taxon_key", **sections), "taxon_key", "left").join(known, "taxon_key", "left")
+    return shown.withColumn("models", F.coalesce("models", F.array().cast("array<string>")))

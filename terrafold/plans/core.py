@@ -158,12 +158,6 @@ def kde_circular(spark, sf):
     return got.select("flag", "i", F.round("x", 4).alias("x"), F.round("density", 9).alias("density"))
 
 
-@query()
-def sample_cap_hash(spark, sf):
-    """AGG-13: a sampling operator; its cap is the feature."""
-    return statistics.sampled(occurrence(spark, sf).select("flag", "obs_id", F.col("quantity").alias("value")), ["flag"], "obs_id", 500)
-
-
 @query(f"WITH {VIS} SELECT obs_id, quantity FROM vis WHERE quantity BETWEEN 10 AND 12")
 def range_slice(spark, sf):
     """FLT-06/07, API-04."""
@@ -373,12 +367,6 @@ def label_split(spark, sf):
     return filters.label_split(t(spark, sf, "part"), F.split("p_name", " "), ["alpha", "part", "1"]).select("p_partkey", "label")
 
 
-@query()
-def per_group_cap(spark, sf):
-    """SRT-08/09: a sampling operator; its cap is the feature."""
-    return ranking.capped(occurrence(spark, sf).select("taxon_key", "obs_id"), "taxon_key", "obs_id", 30)
-
-
 @query("SELECT c_custkey, 'C' || c_custkey AS key FROM customer")
 def catalog_order(spark, sf):
     """SRT-06: integer keys in numeric order, then the others."""

@@ -370,25 +370,29 @@ def share_shifts(spark, sf):
     return narrative.share_shift(_shares(p, "taxon_key"), _shares(p.where("level0 = 'N3'"), "taxon_key"), "taxon_key", F.lit("N3"))
 
 
-@query("SELECT l_suppkey, 'Elevation: ' || CASE WHEN round(a) = round(b) THEN round(a)::BIGINT::VARCHAR ELSE round(a)::BIGINT || ' to ' || round(b)::BIGINT END || ' m' AS elevation, CASE WHEN x >= y THEN 'mostly sand' ELSE 'mostly silt' END AS soil FROM (SELECT l_suppkey, quantile_cont(l_quantity, 0.1) AS a, quantile_cont(l_quantity, 0.9) AS b, count(*) FILTER (l_returnflag = 'R') AS x, count(*) FILTER (l_returnflag = 'A') AS y FROM lineitem GROUP BY 1)")
-def terrain_rows(spark, sf):
+@query("SELECT l_suppkey, 'Elevation: ' || CASE WHEN round(a) = round(b) THEN round(a)::BIGINT::VARCHAR ELSE round(a)::BIGINT || ' to ' || round(b)::BIGINT END || ' m' AS elevation FROM (SELECT l_suppkey, quantile_cont(l_quantity, 0.1) AS a, quantile_cont(l_quantity, 0.9) AS b FROM lineitem GROUP BY 1)")
+def range_texts(spark, sf):
     """DSC-05."""
-    s = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.percentile("l_quantity", [0.1, 0.9]).alias("p"), F.count_if(F.col("l_returnflag") == "R").alias("x"), F.count_if(F.col("l_returnflag") == "A").alias("y"))
-    return s.select("l_suppkey", narrative.range_row("Elevation", F.col("p")[0], F.col("p")[1], "m").alias("elevation"), narrative.soil_row(F.col("x"), F.col("y"), F.lit(-1)).alias("soil"))
+    s = t(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.percentile("l_quantity", [0.1, 0.9]).alias("p"))
+    return s.select("l_suppkey", narrative.range_row("Elevation", F.col("p")[0], F.col("p")[1], "m").alias("elevation"))
 
 
-@query("WITH x AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), y AS (SELECT DISTINCT l.a || ' ' || l.b AS one, r.a || ' ' || r.b AS two, l.a AS a, l.b AS b, r.a AS c, r.b AS d FROM x l JOIN x r ON l.b = r.b) SELECT one, two, CASE WHEN a = c THEN one ELSE a || ' and ' || two END AS merged FROM y")
+@query("WITH x AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part), y AS (SELECT DISTINCT l.a || ' ' || l.b AS one, r.a || ' ' || r.b AS two, l.a AS a, l.b AS b, r.a AS c, r.b AS d FROM x l JOIN x r ON l.b = r.b) SELECT one, two, a || ' and ' || c || ' ' || b AS merged FROM y")
 def merged_labels(spark, sf):
     """DSC-03."""
     p = t(spark, sf, "part").select(F.split("p_name", " ").alias("w")).select(F.col("w")[0].alias("a"), F.col("w")[1].alias("b")).distinct()
     two = p.select("a", "b").join(p.select(F.col("a").alias("c"), "b"), "b")
     text = two.select(F.concat_ws(" ", "a", "b").alias("one"), F.concat_ws(" ", "c", "b").alias("two"))
-    return text.select("one", "two", narrative.merged_label(F.col("one"), F.col("two")).alias("merged"))
+    return text.select("one", "two", narrative.parallel_label(F.col("one"), F.col("two")).alias("merged"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '. ' ELSE '' END || 'Lies in ' || r_name || '.' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT n_nationkey, 'Summary: The ' || lower(replace(n_name, '_', ' ')) || ' (' || replace(n_name, '_', ' ') || ') is a species of ' || r_name || '.' || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || 'Habitat: often in grasslands' ELSE '' END || chr(10) || 'Locations: Lies in ' || r_name || chr(10) || 'Soil Texture: ' || CASE WHEN n_nationkey % 3 = 0 THEN 'sandy.' ELSE 'Not notable.' END AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
 def profiles(spark, sf):
     """DSC-08, API-08."""
-    n = t(spark, sf, "nation")
-    where = n.join(F.broadcast(t(spark, sf, "region")), F.expr("n_regionkey = r_regionkey")).select("n_nationkey", F.concat(F.lit("Lies in "), F.col("r_name"), F.lit(".")).alias("x"))
-    return narrative.profile("n_nationkey", summary=n.where("n_nationkey % 2 = 0").select("n_nationkey", F.col("n_name").alias("x")), locations=where).select("n_nationkey", "text")
+    n = t(spark, sf, "nation").join(F.broadcast(t(spark, sf, "region")), F.expr("n_regionkey = r_regionkey"))
+    none = F.lit(None).cast("string")
+    who = n.select("n_nationkey", narrative.summary_sentence(F.col("n_name"), F.lower("n_name"), none, F.col("r_name")).alias("x"))
+    habitat = n.where("n_nationkey % 2 = 0").select("n_nationkey", narrative.habitat_text(F.lit("Often in grassland ")).alias("x"))
+    where = n.select("n_nationkey", F.concat(F.lit("Lies in "), F.col("r_name")).alias("x"))
+    soil = n.where("n_nationkey % 3 = 0").select("n_nationkey", F.lit("sandy").alias("x"))
+    return narrative.profile("n_nationkey", who, habitat, None, where, soil_texture=soil).select("n_nationkey", "text")

@@ -310,15 +310,6 @@ def location_sentence(spark, sf):
     return api.location_sentence(c.selectExpr("'r' || n_regionkey as taxon_key", "n_name as name", "cnt"))
 
 
-@query(f"WITH {VIS}, c AS (SELECT taxon_key, flag, count(*) AS n FROM vis GROUP BY ALL), s AS (SELECT taxon_key, flag AS class_name, n / sum(n) OVER (PARTITION BY taxon_key) AS share FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY taxon_key ORDER BY share DESC, class_name) AS k FROM s) SELECT a.taxon_key, CASE WHEN round(a.share, 9) >= 1 THEN 'only' WHEN round(a.share, 9) >= 0.8 THEN 'almost always' WHEN round(a.share, 9) >= 0.5 THEN 'mostly' WHEN round(a.share, 9) >= 0.3 THEN 'often' WHEN round(a.share, 9) >= 0.2 THEN 'sometimes' WHEN round(a.share, 9) >= 0.1 THEN 'occasionally' ELSE 'rarely' END || ' in ' || a.class_name || CASE WHEN b.share >= 0.02 THEN ', also in ' || b.class_name ELSE '' END AS phrase FROM r a LEFT JOIN r b ON a.taxon_key = b.taxon_key AND b.k = 2 WHERE a.k = 1")
-def category_phrase(spark, sf):
-    """DSC-01/02."""
-    from ..operators.statistics import category_metrics, distribution
-
-    shares = distribution(category_metrics(visible(occurrence(spark, sf)), ["taxon_key"], "flag"), ["taxon_key"])
-    return api.category_phrase(shares.select("taxon_key", F.col("class").alias("class_name"), "share"))
-
-
 @query(f"WITH {HOURLY} {trailing_sql((24,))}")
 def streamed_windows(spark, sf):
     """TMP-05, TMP-07..09: events as a stream; the final state gives the batch result."""

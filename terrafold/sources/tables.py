@@ -27,6 +27,20 @@ def delimited(spark: SparkSession, paths, columns: list[str], sep: str = "\t", h
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("mode", "DROPMALFORMED").csv(paths)
 
 
+def positional(spark: SparkSession, path: str, ordinals: dict[str, int], named: list[str] = [], sep: str = "\t") -> DataFrame:  # noqa: B006
+    """SRC-09: columns taken by their place (0-based) or by their name in the header; rows too short for any of them go.
+
+    The header is the first line of the first file; a line equal to it is a header wherever it stands."""
+    lines = spark.read.text(path)
+    head = lines.first()
+    if head is None:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in [*ordinals, *named]))
+    places = ordinals | {n: head[0].split(sep).index(n) for n in named}
+    parts = F.split("value", f"\\Q{sep}\\E", -1)
+    rows = lines.where(F.col("value") != head[0]).select(parts.alias("p")).where(F.size("p") > max(places.values()))
+    return rows.select(*[F.col("p")[k].alias(n) for n, k in places.items()])
+
+
 def vernacular_names(spark: SparkSession, comma_paths, tab_path: str) -> DataFrame:
     """SRC-08: two layouts as one table with its source."""
     own = delimited(spark, comma_paths, ["id", "vernacularName", "language", "lexicon"], ",").select(F.col("id").alias("ext_id"), F.col("vernacularName").alias("name"), "language", "lexicon", F.lit("own").alias("source"))
@@ -112,10 +126,10 @@ def renamed(df: DataFrame) -> DataFrame:
 def readable(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """PRJ-06: display names; a second use of a name gets (2)."""
     seen = {c: 1 for c in df.columns if c not in labels}
-    out = {}
+    out = []
     for c in df.columns:
+        shown = labels.get(c, c)
         if c in labels:
-            n = seen.get(labels[c], 0) + 1
-            seen[labels[c]] = n
-            out[c] = labels[c] if n == 1 else f"{labels[c]} ({n})"
-    return df.withColumnsRenamed(out)
+            seen[shown] = seen.get(shown, 0) + 1
+        out.append(shown if seen[shown] == 1 else f"{shown} ({seen[shown]})")
+    return df.toDF(*out)

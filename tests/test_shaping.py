@@ -33,9 +33,9 @@ def test_summed_below_is_exact_over_parts(spark):
         total += w
 
 
-@pytest.mark.parametrize(("a", "b", "text"), [("open forest", "closed forest", "open and closed forest"), ("dry grass", "dry scrub", "dry grass and scrub"), ("forest", "open forest", "open forest"), ("bog", "bog", "bog"), ("sand", "bare rock", "sand and bare rock")])
-def test_merged_label(spark, a, b, text):
-    assert spark.createDataFrame([(a, b)], "a string, b string").select(narrative.merged_label(F.col("a"), F.col("b"))).first()[0] == text
+@pytest.mark.parametrize(("a", "b", "text"), [("open forest", "closed forest", "open and closed forest"), ("old open forest", "old closed forest", "old open and closed forest"), ("dry grass", "dry scrub", "dry grass and dry scrub"), ("forest", "open forest", "forest and open forest"), ("sand", "bare rock", "sand and bare rock"), ("none", "bog", "bog"), ("none bog", "fen", "bog and fen"), ("x", "", "x")])
+def test_parallel_label(spark, a, b, text):
+    assert spark.createDataFrame([(a, b)], "a string, b string").select(narrative.parallel_label(F.col("a"), F.col("b"))).first()[0] == text
 
 
 @pytest.mark.parametrize(("here", "everywhere", "warm", "wet"), [(10.2, 10.0, "about the same in X", "about the same in X"), (12.0, 10.0, "a bit warmer in X", "slightly wetter in X"), (1.0, 10.0, "much cooler in X", "much drier in X"), (150.0, 0.0, "much warmer in X", "noticeably wetter in X"), (math.nan, 1.0, None, None), (None, 1.0, None, None)])
