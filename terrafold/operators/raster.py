@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.science import WORLD, tile_id
+from .tallies import bilinear
+
 
 def point_sample(points: DataFrame, cells: DataFrame, row: Column, col: Column) -> DataFrame:
     """RAS-01: the value of the cell that holds each point; null where there is no cell."""
@@ -107,3 +110,51 @@ def region_cover(boxes: DataFrame) -> DataFrame:
     cells = lambda a, b: F.sequence((F.floor(F.col(a) / 10) * 10).cast("int"), (F.floor(F.col(b) / 10) * 10).cast("int"), F.lit(10))
     rows = boxes.withColumn("lat0", F.explode(cells("south", "north")))
     return rows.withColumn("lon0", F.explode(cells("west", "east")))
+
+
+def tile_pixels(spark, z: int, x: int, y: int, size: int) -> DataFrame:
+    """RAS-04, MTH-16: the pixels of a Mercator tile (px from the west, py from the north) with the place of their centres."""
+    span = 2 * WORLD / 2**z
+    ids = spark.range(size * size).select(F.floor(F.col("id") / size).alias("py"), (F.col("id") % size).alias("px"))
+    east = F.lit(-WORLD + x * span) + (F.col("px") + 0.5) * (span / size)
+    north = F.lit(WORLD - y * span) - (F.col("py") + 0.5) * (span / size)
+    lat = F.degrees(2 * F.atan(F.exp(north / WORLD * F.lit(3.141592653589793))) - F.lit(3.141592653589793) / 2)
+    return ids.select("py", "px", lat.alias("lat"), (east / WORLD * 180).alias("lon"))
+
+
+def overview_factor(step: float, z: int, size: int) -> int:
+    """RAS-04: the largest power of two by which cells of `step` degrees may be thinned for pixels of a zoom level."""
+    factor, pixel = 1, 360 / 2**z / size
+    while factor * 2 * step <= pixel:
+        factor *= 2
+    return factor
+
+
+def rendered(pixels: DataFrame, cells: DataFrame, top: float, left: float, step: float, categorical: bool = False, factor: int = 1) -> DataFrame:
+    """RAS-04: pixels (lat, lon) with the value of a grid whose first cell begins at (top, left): the cell that holds the pixel's
+    centre for classes, else the weighted mean of the four cells around it; from an overview if factor is above 1."""
+    if factor > 1:
+        cells, step = overview(cells, factor, categorical), step * factor
+    y, x = (F.lit(top) - F.col("lat")) / step, (F.col("lon") - F.lit(left)) / step
+    if categorical:
+        return point_sample(pixels, cells, F.floor(y), F.floor(x)).drop("row", "col")
+    return bilinear(pixels, cells, y - 0.5, x - 0.5)
+
+
+def reprojected(spark, cells: DataFrame, source: tuple[float, float, float], target: tuple[float, float, float], rows: int, cols: int, flip: bool = False) -> DataFrame:
+    """RAS-08: a grid on another one, by the four cells around each centre.  Grids are (top, left, step); with flip the source
+    counts its rows from the south, and `top` is its southern edge."""
+    top, left, step = target
+    ids = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("r"), (F.col("id") % cols).alias("c"))
+    lat, lon = F.lit(top) - (F.col("r") + 0.5) * step, F.lit(left) + (F.col("c") + 0.5) * step
+    s_top, s_left, s_step = source
+    y = (lat - s_top) / s_step if flip else (F.lit(s_top) - lat) / s_step
+    got = bilinear(ids, cells, y - 0.5, (lon - s_left) / s_step - 0.5)
+    return got.select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
+def cut_regions(cells: DataFrame, top: float, left: float, step: float) -> DataFrame:
+    """RAS-05: a large grid as regions of ten degrees: the region's id, and row and column within it, from its north-west corner."""
+    lat, lon = F.lit(top) - (F.col("row") + 0.5) * step, F.lit(left) + (F.col("col") + 0.5) * step
+    south, west = F.floor(lat / 10) * 10, F.floor(lon / 10) * 10
+    return cells.select(tile_id(lat, lon).alias("region"), F.floor((south + 10 - lat) / step).alias("row"), F.floor((lon - west) / step).alias("col"), "value")

@@ -191,3 +191,15 @@ def padded(rows: DataFrame, keys: list[str], entries: str = "entries") -> DataFr
     same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys])
     got = rows.alias("r").join(longest.alias("l"), same).select("r.*", "_m")
     return got.select(*[c for c in rows.columns if c != entries], F.size(entries).alias("length"), F.concat(entries, missing).alias(entries))
+
+
+def variables_shown(catalog: DataFrame) -> DataFrame:
+    """PRJ-19: the variables for display, in order: id, its name (the id as words where there is none), units, value type."""
+    named = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.initcap(F.replace("id", F.lit("_"), F.lit(" "))))
+    return catalog.select("id", named.alias("name"), "units", F.lower(F.coalesce(F.nullif(F.trim("value_type"), F.lit("")), F.lit("numeric"))).alias("value_type"), "ord")
+
+
+def sources_used(catalog: DataFrame) -> DataFrame:
+    """PRJ-19: each source with the variables that come from it."""
+    rows = catalog.select("id", F.explode("source_ids").alias("source"))
+    return rows.groupBy("source").agg(F.array_sort(F.collect_set("id")).alias("variables"))

@@ -194,3 +194,14 @@ def steps_in_year(year: Column, seconds: int) -> Column:
     """DAT-05."""
     days = F.datediff(F.make_date(year + 1, F.lit(1), F.lit(1)), F.make_date(year, F.lit(1), F.lit(1)))
     return (days * 86400 / seconds).cast("long")
+
+
+def forecast_frame(frames: DataFrame, keys: list[str], time: str, reference: Column, hours: int) -> DataFrame:
+    """SRC-20: of each key's frames the second one by time for no offset (the first is the analysis), the only one if there is
+    no second; else the one whose time is nearest to the reference plus the hours, the earlier on ties."""
+    if hours == 0:
+        order = Window.partitionBy(*keys).orderBy(time)
+        ranked = frames.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
+        return ranked.groupBy(*keys).agg(F.max(time).alias(time))
+    gap = F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(reference) - F.lit(hours * 3_600_000_000))
+    return frames.groupBy(*keys).agg(F.min_by(F.col(time), F.struct(gap, F.col(time))).alias(time))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..control import Memo
@@ -36,14 +36,16 @@ def resolve_taxon(catalog: Catalog, reference: str) -> DataFrame:
     return both.join(F.broadcast(both.agg(F.min("_o").alias("_m"))), F.col("_o") == F.col("_m"), "left_semi").drop("_o")
 
 
-def search_names(catalog: Catalog, text: str) -> DataFrame:
-    """STR-05/06, AGG-20, SRT-03/04: taxa whose name words begin with the query's words, with adjusted scores."""
+def search_names(catalog: Catalog, text: str, pool: int | None = None) -> DataFrame:
+    """STR-05/06, AGG-20: taxa whose name words begin with the query's words, with adjusted scores; with `pool` only the best
+    so many by score and key (SRT-03/04): a report that shows few does not carry all."""
     q = " ".join(text.lower().replace("_", " ").split())
     name = normalized(F.col("scientific_name"))
     begins = F.forall(F.split(F.lit(q), " "), lambda w: F.exists(F.split(name, " "), lambda x: F.startswith(x, w)))
     near = catalog.taxon.where(begins).withColumn("_name", name)  # selective, and before the UDF
     score = adjusted_score(token_set_ratio(F.col("_name"), F.lit(q)), F.col("_name"), F.lit(q))
-    return near.withColumn("match_score", score).where("match_score is not null").groupBy("taxon_key").agg(F.max("match_score").alias("match_score"))
+    found = near.withColumn("match_score", score).where("match_score is not null").groupBy("taxon_key").agg(F.max("match_score").alias("match_score"))
+    return found if pool is None else found.orderBy(F.desc("match_score"), "taxon_key").limit(pool)
 
 
 def query_taxa(catalog: Catalog, text: str | None = None, within: str | None = None, rank: str | None = None, sort: tuple[str, str] | None = None, descending: bool = False, scope: tuple[str, str] | None = None, min_samples: int = 0, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -336,13 +338,42 @@ def serialized(taxon: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     return taxon.select("taxon_key", "scientific_name", slug(F.col("scientific_name")).alias("slug"), F.upper("rank").alias("rank"), group.alias("taxon_group"))
 
 
-def location_sentence(counts: DataFrame, names: int = 3) -> DataFrame:
-    """DSC-04: the largest locations by share, as text."""
-    order = Window.partitionBy("taxon_key").orderBy(F.desc("cnt"), "name")
-    top = counts.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy("taxon_key"))}).where(F.col("_r") <= names)
-    got = top.groupBy("taxon_key").agg(F.array_sort(F.collect_list(F.struct("_r", "name"))).alias("x"), F.max("_n").alias("_n"))
-    text = F.array_join(F.transform("x", lambda v: v["name"]), ", ")
-    return got.select("taxon_key", F.when(F.col("_n") > names, F.concat(text, F.lit(" and other places"))).otherwise(text).alias("sentence"))
+#: Names that take the article.
+WITH_ARTICLE = ("united states", "united kingdom", "netherlands", "philippines", "gambia")
+
+
+def with_article(name: Column) -> Column:
+    """DSC-04."""
+    return F.when(F.lower(F.trim(name)).isin(*WITH_ARTICLE), F.concat(F.lit("the "), F.trim(name))).otherwise(F.trim(name))
+
+
+def _listed(entries: DataFrame, limit: int) -> DataFrame:
+    """entries: taxon_key, gid, name, parent_gid, cnt.  Per taxon: the largest names (each once), how many entries there are,
+    and the id of the largest."""
+    best = entries.groupBy("taxon_key", "name").agg(F.max_by(F.struct("cnt", "gid"), F.struct(F.col("cnt"), F.col("gid"))).alias("x"), F.count("*").alias("times"))
+    order = Window.partitionBy("taxon_key").orderBy(F.desc("x.cnt"), "name")
+    rows = best.withColumns({"r": F.row_number().over(order), "entries": F.sum("times").over(Window.partitionBy("taxon_key"))}).where(F.col("r") <= limit)
+    got = rows.groupBy("taxon_key").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("n"), F.max("entries").alias("entries"), F.min_by("x.gid", "r").alias("first_gid"))
+    return got.select("taxon_key", F.transform("n", lambda v: v["name"]).alias("names"), (F.col("entries") > F.size("n")).alias("more"), "first_gid")
+
+
+def _joined(names: Column, more: Column, others: str) -> Column:
+    n = F.size(names)
+    whole = F.when(n == 1, names[0]).otherwise(F.concat(F.array_join(F.slice(names, F.lit(1), n - 1), ", "), F.lit(", and "), F.element_at(names, -1)))
+    return F.when(more, F.concat(F.array_join(names, ", "), F.lit(f" and other {others}"))).otherwise(whole)
+
+
+def location_sentence(counts: DataFrame, locations: DataFrame, limit: int = 3) -> DataFrame:
+    """DSC-04: counts (taxon_key, gid, cnt) and locations (gid, name, level, parent_gid) -> the largest countries of a taxon;
+    if there is one country alone, the largest of its regions that the taxon lives in."""
+    rows = counts.where("cnt > 0").join(locations.select("gid", "name", "level", "parent_gid"), "gid").where("name is not null and trim(name) != ''")
+    lands = _listed(rows.where("level = 0"), limit)
+    one = lands.where(F.size("names") == 1).select("taxon_key", F.col("first_gid").alias("land"), with_article(F.col("names")[0]).alias("land_name"))
+    inside = rows.where("level = 1").join(one, "taxon_key").where("parent_gid = land")
+    regions = _listed(inside, limit).select("taxon_key", _joined(F.col("names"), F.col("more"), "regions").alias("regions"))
+    named = one.join(regions, "taxon_key").select("taxon_key", F.concat("regions", F.lit(" in "), "land_name").alias("drilled"))
+    lands = lands.withColumn("names", F.transform("names", with_article))
+    return lands.join(named, "taxon_key", "left").select("taxon_key", F.coalesce("drilled", _joined(F.col("names"), F.col("more"), "countries")).alias("sentence"))
 
 
 def species_detail(taxon: DataFrame, groups: list[tuple[str, str]], sections: dict[str, DataFrame], models: DataFrame) -> DataFrame:

@@ -211,6 +211,24 @@ def species_places(spark, sf):
     return got.withColumn("hierarchy", F.array_join("hierarchy", "|"))
 
 
+_NAMED = "place AS (SELECT 'N' || n_nationkey AS gid, CASE WHEN n_nationkey = 3 THEN 'Netherlands' ELSE n_name END AS name, 0 AS level, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'C' || c_custkey, 'place ' || c_custkey % 40, 1, 'N' || c_nationkey FROM customer)"
+
+
+@query(f"""WITH {_NAMED}, c AS (SELECT 'x' || c_nationkey AS taxon_key, 'N' || c_nationkey AS gid, count(*) AS cnt FROM customer WHERE c_nationkey % 2 = 1 GROUP BY ALL UNION ALL SELECT 'x' || c_nationkey, 'C' || c_custkey, c_custkey % 7 FROM customer WHERE c_nationkey % 2 = 1 AND c_nationkey <> 5 UNION ALL SELECT 'y' || n_regionkey, 'N' || n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey < 20),
+e AS (SELECT taxon_key, gid, name, level, parent, cnt FROM c JOIN place USING (gid) WHERE cnt > 0), u AS (SELECT taxon_key, level, name, max(cnt) AS cnt, count(*) AS times FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY taxon_key, level ORDER BY cnt DESC, name) AS k, sum(times) OVER (PARTITION BY taxon_key, level) AS n FROM u),
+l AS (SELECT taxon_key, level, list(CASE WHEN level = 0 AND name = 'Netherlands' THEN 'the Netherlands' ELSE name END ORDER BY k) AS names, max(n) > count(*) AS more FROM r WHERE k <= 3 GROUP BY ALL), j AS (SELECT *, CASE WHEN more THEN array_to_string(names, ', ') || ' and other ' || CASE level WHEN 0 THEN 'countries' ELSE 'regions' END WHEN len(names) = 1 THEN names[1] ELSE array_to_string(names[1:len(names) - 1], ', ') || ', and ' || names[-1] END AS txt FROM l)
+SELECT a.taxon_key, CASE WHEN len(a.names) = 1 AND b.txt IS NOT NULL THEN b.txt || ' in ' || a.names[1] ELSE a.txt END AS sentence FROM j a LEFT JOIN j b ON a.taxon_key = b.taxon_key AND b.level = 1 WHERE a.level = 0""")
+def location_sentence(spark, sf):
+    """DSC-04: three countries, or three regions of the only country."""
+    n, c = t(spark, sf, "nation"), t(spark, sf, "customer")
+    named = n.selectExpr("'N' || n_nationkey as gid", "if(n_nationkey = 3, 'Netherlands', n_name) as name", "0 as level", "'R' || n_regionkey as parent_gid").unionByName(c.selectExpr("'C' || c_custkey as gid", "'place ' || c_custkey % 40 as name", "1 as level", "'N' || c_nationkey as parent_gid"))
+    odd = c.where("c_nationkey % 2 = 1")
+    counts = odd.groupBy(F.expr("'x' || c_nationkey as taxon_key"), F.expr("'N' || c_nationkey as gid")).agg(F.count("*").alias("cnt"))
+    counts = counts.unionByName(odd.where("c_nationkey != 5").selectExpr("'x' || c_nationkey as taxon_key", "'C' || c_custkey as gid", "cast(c_custkey % 7 as bigint) as cnt"))
+    counts = counts.unionByName(n.where("n_nationkey < 20").selectExpr("'y' || n_regionkey as taxon_key", "'N' || n_nationkey as gid", "cast(n_nationkey + 1 as bigint) as cnt"))
+    return api.location_sentence(counts, named)
+
+
 def _seen(spark, sf):
     """The catalogue with all observations, the hidden ones marked."""
     c = catalog(spark, sf)

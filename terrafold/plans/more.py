@@ -303,13 +303,6 @@ def taxon_serialize(spark, sf):
     return api.serialized(taxon(spark, sf), [("r0", "africa"), ("r2", "asia")])
 
 
-@query("WITH c AS (SELECT s_nationkey, count(*) AS cnt FROM supplier GROUP BY 1), x AS (SELECT 'r' || n_regionkey AS taxon_key, n_name AS name, cnt FROM c JOIN nation ON n_nationkey = s_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY taxon_key ORDER BY cnt DESC, name) AS k, count(*) OVER (PARTITION BY taxon_key) AS n FROM x) SELECT taxon_key, string_agg(name, ', ' ORDER BY k) || CASE WHEN max(n) > 3 THEN ' and other places' ELSE '' END AS sentence FROM r WHERE k <= 3 GROUP BY taxon_key")
-def location_sentence(spark, sf):
-    """DSC-04."""
-    c = t(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("cnt")).join(t(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
-    return api.location_sentence(c.selectExpr("'r' || n_regionkey as taxon_key", "n_name as name", "cnt"))
-
-
 @query(f"WITH {HOURLY} {trailing_sql((24,))}")
 def streamed_windows(spark, sf):
     """TMP-05, TMP-07..09: events as a stream; the final state gives the batch result."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import science, text
-from ..operators import filters, hierarchy, models, ranking, raster, shaping, statistics, weather
+from ..operators import filters, hierarchy, models, ranking, raster, shaping, statistics, tallies, weather
 from ..sources import tables
 from ..streaming.windows import tumbling
 from ..storage import shared_path
@@ -155,6 +155,55 @@ def region_cover(spark, sf):
     return raster.region_cover(boxes).select("n_nationkey", "lat0", "lon0")
 
 
+_PIXELS = "px AS (SELECT py, px, degrees(2 * atan(exp((20037508.342789244::DOUBLE - 2 * 5009377.085697311::DOUBLE - (py + 0.5::DOUBLE) * (5009377.085697311::DOUBLE / 16)) / 20037508.342789244::DOUBLE * pi())) - pi() / 2) AS lat, (-20037508.342789244::DOUBLE + 4 * 5009377.085697311::DOUBLE + (px + 0.5::DOUBLE) * (5009377.085697311::DOUBLE / 16)) / 20037508.342789244::DOUBLE * 180 AS lon FROM range(16) a(py), range(16) b(px))"
+
+
+@query(f"WITH {CELLS}, {_PIXELS}, p AS (SELECT py, px, (66.0::DOUBLE - lat) / 4.5::DOUBLE AS y, lon / 4.5::DOUBLE AS x FROM px) SELECT py, px, round(value, 6) AS value FROM p LEFT JOIN cell ON \"row\" = floor(y) AND col = floor(x)")
+def tile_classes(spark, sf):
+    """RAS-04: a tile of classes: the cell that holds each pixel's centre."""
+    got = raster.rendered(raster.tile_pixels(spark, 3, 4, 2, 16), cells(spark, sf), 66.0, 0.0, 4.5, categorical=True)
+    return rounded(got.select("py", "px", "value"), "value")
+
+
+@query(f"""WITH {CELLS}, {_PIXELS}, o AS (SELECT "row" // 2 AS "row", col // 2 AS col, avg(value) AS value FROM cell GROUP BY ALL), p AS (SELECT py, px, (66.0::DOUBLE - lat) / 2.0::DOUBLE - 0.5 AS y, lon / 2.0::DOUBLE - 0.5 AS x FROM px), k AS (SELECT * FROM p, range(2) a(a), range(2) b(b)),
+h AS (SELECT py, px, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, value FROM k LEFT JOIN o ON "row" = floor(y) + a AND col = floor(x) + b) SELECT py, px, round(sum(w * value) / nullif(sum(w) FILTER (value IS NOT NULL), 0), 6) AS value FROM h GROUP BY py, px""")
+def tile_numbers(spark, sf):
+    """RAS-04: a tile of numbers from an overview: the weighted mean of the four cells around each pixel's centre."""
+    factor = raster.overview_factor(1.0, 3, 16)
+    got = raster.rendered(raster.tile_pixels(spark, 3, 4, 2, 16), cells(spark, sf), 66.0, 0.0, 1.0, factor=factor)
+    return rounded(got.select("py", "px", "value"), "value")
+
+
+@query(f"""WITH {CELLS}, q AS (SELECT r, c, (60.0::DOUBLE - (r + 0.5::DOUBLE) * 1.5::DOUBLE - 40.0::DOUBLE) / 1.0::DOUBLE - 0.5 AS y, ((c + 0.5::DOUBLE) * 1.5::DOUBLE) / 1.0::DOUBLE - 0.5 AS x FROM range(10) a(r), range(6) b(c)), k AS (SELECT * FROM q, range(2) a(a), range(2) b(b)),
+h AS (SELECT r, c, (CASE WHEN a = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN b = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w, value FROM k LEFT JOIN cell ON "row" = floor(y) + a AND col = floor(x) + b) SELECT r AS "row", c AS col, round(sum(w * value) / nullif(sum(w) FILTER (value IS NOT NULL), 0), 6) AS value FROM h GROUP BY r, c""")
+def weather_regrid(spark, sf):
+    """RAS-08: a grid that counts its rows from the south on a coarser one."""
+    return rounded(raster.reprojected(spark, cells(spark, sf), (40.0, 0.0, 1.0), (60.0, 0.0, 1.5), 10, 6, flip=True), "value")
+
+
+@query(f"WITH {CELLS}, c AS (SELECT 60.0::DOUBLE - (\"row\" + 0.5::DOUBLE) * 0.5::DOUBLE AS lat, -3.0::DOUBLE + (col + 0.5::DOUBLE) * 0.5::DOUBLE AS lon, value FROM cell) SELECT 'lat' || (floor(lat / 10) * 10)::INTEGER || '_lon' || (floor(lon / 10) * 10)::INTEGER AS region, floor((floor(lat / 10) * 10 + 10 - lat) / 0.5)::BIGINT AS \"row\", floor((lon - floor(lon / 10) * 10) / 0.5)::BIGINT AS col, round(value, 6) AS value FROM c")
+def region_cut(spark, sf):
+    """RAS-05: a grid cut into regions of ten degrees."""
+    return rounded(raster.cut_regions(cells(spark, sf), 60.0, -3.0, 0.5), "value")
+
+
+@query("WITH f AS (SELECT DISTINCT event_type, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM f) SELECT event_type, 0 AS hours, epoch_us(max(ts)) AS at FROM r WHERE k <= 2 GROUP BY 1 UNION ALL SELECT event_type, 72, epoch_us(arg_min(ts, (abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-02') - 72 * 3600000000), ts))) FROM f GROUP BY 1")
+def forecast_frames(spark, sf):
+    """SRC-20: the frame for now, and the one nearest to three days on."""
+    f = t(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).distinct()
+    ref = F.lit("2024-01-02").cast("timestamp")
+    one = lambda h: tallies.forecast_frame(f, ["event_type"], "ts", ref, h).select("event_type", F.lit(h).alias("hours"), F.unix_micros("ts").alias("at"))
+    return one(0).unionByName(one(72))
+
+
+@query("SELECT * FROM (VALUES ('bio_1', 'Mean', '°C', 'numeric', 'a|b'), ('wind_speed', 'Wind Speed', NULL, 'categorical', 'b'), ('sand', 'Sand', '%', 'numeric', NULL)) v(id, name, units, value_type, sources)")
+def variable_listing(spark, sf):
+    """PRJ-19: variables for display, and the sources that they come from."""
+    v = spark.sql("select * from values ('bio_1', 'Mean', '°C', '', array('b', 'a'), 0), ('wind_speed', ' ', null, 'Categorical', array('b'), 1), ('sand', null, '%', null, null, 2) as t(id, name, units, value_type, source_ids, ord)")
+    used = shaping.sources_used(v).select("source", F.explode("variables").alias("id")).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("source")), "|").alias("sources"))
+    return shaping.variables_shown(v).join(used, "id", "left").select("id", "name", "units", "value_type", "sources")
+
+
 @query(f"WITH {CELLS} SELECT p_partkey, round(a.value, 6) AS quantity, round(a.value * 2, 6) AS twice FROM part LEFT JOIN cell a ON a.\"row\" = p_partkey // 10 AND a.col = p_size % 12")
 def feature_matrix(spark, sf):
     """RAS-02/07, JON-16: the layers at points, one column each, in the model's order."""
