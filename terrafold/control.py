@@ -33,17 +33,17 @@ class Config:
 
 @contextmanager
 def cancellable(spark: SparkSession, tag: str):
-    """CTL-01: queries started inside carry a tag; `cancel` with the same tag stops those that run."""
-    spark.addTag(tag)
+    """CTL-01: jobs started inside carry a tag; `cancel` with the same tag stops those that run."""
+    spark.sparkContext.addJobTag(tag)
     try:
         yield
     finally:
-        spark.removeTag(tag)
+        spark.sparkContext.removeJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    """CTL-01: the ids of the stopped operations."""
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> None:
+    """CTL-01: jobs that carry the tag end with an error."""
+    spark.sparkContext.cancelJobsWithTag(tag)
 
 
 def memory_share() -> float:

@@ -194,11 +194,10 @@ def cells(spark, sf):
     return t(spark, sf, "lineitem").groupBy(F.floor(F.col("l_partkey") / 10).alias("row"), (F.col("l_suppkey") % 10).alias("col")).agg(F.avg("l_quantity").alias("value"))
 
 
-_V = {(a, b): f"n{a + 1}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1)}
-_NEAR = " ".join(f'JOIN cell {n} ON {n}."row" = c."row" + {a} AND {n}.col = c.col + {b}' for (a, b), n in _V.items())
+_NEAR = ", ".join(f"max(value) FILTER (a = {a} AND b = {b}) AS n{a + 1}{b + 1}" for a in (-1, 0, 1) for b in (-1, 0, 1))
 
 
-@query(f"""WITH {CELLS}, g AS (SELECT c."row", c.col, ((n02.value + 2 * n12.value + n22.value) - (n00.value + 2 * n10.value + n20.value)) / 800 AS dx, ((n20.value + 2 * n21.value + n22.value) - (n00.value + 2 * n01.value + n02.value)) / 800 AS dy FROM cell c {_NEAR}) SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE fmod(degrees(atan2(dx, -dy)) + 180, 360) END, 4) AS aspect FROM g""")
+@query(f"""WITH {CELLS}, sent AS (SELECT "row" - a AS "row", col - b AS col, a, b, value FROM cell, range(-1, 2) x(a), range(-1, 2) y(b)), near AS (SELECT "row", col, {_NEAR} FROM sent GROUP BY "row", col HAVING count(*) = 9), g AS (SELECT "row", col, ((n02 + 2 * n12 + n22) - (n00 + 2 * n10 + n20)) / 800 AS dx, ((n20 + 2 * n21 + n22) - (n00 + 2 * n01 + n02)) / 800 AS dy FROM near) SELECT "row", col, round(degrees(atan(sqrt(dx * dx + dy * dy))), 6) AS slope, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE fmod(degrees(atan2(dx, -dy)) + 180, 360) END, 4) AS aspect FROM g""")
 def slope_aspect(spark, sf):
     """MTH-07."""
     got = raster.slope_aspect(cells(spark, sf), 100.0)

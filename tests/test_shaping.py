@@ -132,5 +132,5 @@ def test_config_and_memo(spark):
     assert memo.get("a", lambda: spark.range(9)) is one
     memo.release()
     with control.cancellable(spark, "t"):
-        assert "t" in spark.getTags()
-    assert "t" not in spark.getTags()
+        assert "t" in spark.sparkContext.getJobTags()
+    assert "t" not in spark.sparkContext.getJobTags()
