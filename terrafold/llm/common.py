@@ -41,17 +41,17 @@ def rows_of(docs: DataFrame) -> list:
     return [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
 
 
-def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
+def hot_keys(counts: DataFrame, keys: list[str], least: int = 1, small: int | None = None) -> DataFrame | None:
     """Of counts (keys, n: the rows of each key), the hot keys with the salts to deal them over; None if there are none.
 
     A key is hot if it has more rows than an average task, so there are fewer hot keys than tasks, whatever the data: that
-    bounds the list, which is broadcast.
+    bounds the list, which is broadcast.  No salt gets fewer than about `least` rows; up to `small` rows in all are not dealt.
     """
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    if total <= SPREAD_ROWS:  # all of it fits one task
+    if total <= (SPREAD_ROWS if small is None else small):  # all of it fits one task
         return None
-    usual = max(1, total // tasks)
+    usual = max(1, least, total // tasks)
     hot = staged(counts.where(F.col("n") > usual).select(*keys, F.ceil(F.col("n") / usual).cast("int").alias("_salts")), "hot-keys")
     return None if hot.isEmpty() else F.broadcast(hot)
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import dealt, hot_keys, repeated, staged
 
+FEW = 2000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,7 +43,8 @@ def reversed_key(host):
 
 def swept(points: DataFrame, rules: DataFrame, group: str, by: str) -> DataFrame:
     """points (group, key, ...) with `top`: the `held` of the innermost of rules (group, start, stop, held) around key."""
-    hot = hot_keys(points.groupBy(group).agg(F.count("*").alias("n")), [group])
+    # A salt has a quarter as many points as there are rules, at least: rules are repeated four times as often as points at most.
+    hot = hot_keys(points.groupBy(group).agg(F.count("*").alias("n")), [group], least=rules.count() // 4, small=FEW)
     bounds = F.array(F.struct(F.col("start").alias("key"), F.lit(0).alias("kind"), "held"), F.struct(F.col("stop").alias("key"), F.lit(-1).alias("kind"), "held"))
     edges = repeated(rules.select(group, F.explode(bounds).alias("_e")).select(group, "_e.*"), hot, [group])
     rows = dealt(points, hot, [group], [by]).withColumn("kind", F.lit(1)).unionByName(edges, allowMissingColumns=True)

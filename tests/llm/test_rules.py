@@ -17,6 +17,7 @@ TOP = (1 << 63) - 1
 def hot(monkeypatch):
     """Every key with more rows than an average task counts as hot, however few rows there are."""
     monkeypatch.setattr(common, "SPREAD_ROWS", 0)
+    monkeypatch.setattr(url_rules, "FEW", 0)
 
 
 def rows_of(df):
