@@ -160,49 +160,67 @@ class Landmarks:
             codes[rows] = np.take_along_axis(codes[rows], order, 1)
         return codes
 
-    def similar(self, words: list[str]) -> dict[str, list[tuple[int, float]]]:
-        """Of words that come near a landmark: which, and the kernel value over that of the landmark with itself (1: holds it once)."""
-        out: dict[str, list[tuple[int, float]]] = {}
+    def _near(self, words: list[str]):
+        """Arrays (word, landmark, kernel value over that of the landmark with itself) of words that come near a landmark."""
+        found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         for at in range(0, len(words), 65536):
-            part = words[at : at + 65536]
-            codes = self._codes(part)
+            codes = self._codes(words[at : at + 65536])
             marks = self._marks(codes)
             some = np.flatnonzero(marks.any(1))
             for k, landmark in enumerate(self.codes):
                 rows = some[(marks[some, k // 64] >> np.uint64(k % 64)) & np.uint64(1) == 1]
                 if len(rows):
-                    near = kernel(codes[rows], landmark) / self.own[k]
-                    for r, value in zip(rows.tolist(), near.tolist(), strict=True):
-                        out.setdefault(part[r], []).append((k, value))
-        return out
+                    for column, part in zip(found, (rows + at, np.full(len(rows), k), kernel(codes[rows], landmark) / self.own[k]), strict=True):
+                        column.append(part)
+        return [np.concatenate(column) for column in found]
 
+    def similar(self, words: list[str]) -> dict[str, list[tuple[int, float]]]:
+        """Of words that come near a landmark: which, and the kernel value over that of the landmark with itself (1: holds it once)."""
+        out: dict[str, list[tuple[int, float]]] = {}
+        for w, k, value in zip(*(column.tolist() for column in self._near(words)), strict=True):
+            out.setdefault(words[w], []).append((k, value))
+        return out
 
-def columns_of(words: set[str], near: dict[str, list[tuple[int, float]]], landmarks: Landmarks) -> np.ndarray:
-    """The kernel values of one document with all landmarks, for each power: what the Nyström map multiplies."""
-    m = len(landmarks.strings)
-    out = np.zeros(m * len(POWERS))
-    for w in words & near.keys():
-        for k, s in near[w]:
-            x = s * np.sqrt(landmarks.own[k]) / landmarks.scale
-            for i, p in enumerate(POWERS):
-                out[i * m + k] += x**p
-    return out
+    def columns(self, words: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """Of words that come near a landmark: the columns of the document kernel that they add to, and how much."""
+        rows, landmarks, ratio = self._near(words)
+        x, m = ratio * np.sqrt(self.own[landmarks]) / self.scale, len(self.strings)
+        at = np.concatenate([landmarks + i * m for i in range(len(POWERS))]).astype(np.int32)
+        values = np.concatenate([x**p for p in POWERS])
+        rows = np.tile(rows, len(POWERS))
+        order = np.argsort(rows, kind="stable")
+        rows, at, values = rows[order], at[order], values[order]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(rows))
+        return {words[rows[a]]: (at[a:b], values[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+
+
+def matrix_of(docs: list[set[str]], near: dict[str, tuple[np.ndarray, np.ndarray]], landmarks: Landmarks) -> np.ndarray:
+    """The kernel values of documents with all landmarks, for each power: what the Nyström map multiplies."""
+    width = len(landmarks.strings) * len(POWERS)
+    at, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for r, words in enumerate(docs):
+        for w in words & near.keys():
+            columns, added = near[w]
+            at.append(columns + r * width)
+            values.append(added)
+    return np.bincount(np.concatenate(at), np.concatenate(values), len(docs) * width).reshape(len(docs), width)
 
 
 def bags(batches, landmarks: Landmarks):
     """(batch, matrix of kernel values per document). Words met before are not compared again."""
     far: set[str] = set()
-    near: dict[str, list[tuple[int, float]]] = {}
+    near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def flush(held):
         nonlocal far, near
         every = [[words_of(t, landmarks.known) for t in b.column(1).to_pylist()] for b in held]
         new = set().union(*(w for e in every for w in e)) - far - near.keys()
         fresh = list(new)
-        near.update(landmarks.similar(fresh) if fresh else {})
+        near.update(landmarks.columns(fresh) if fresh else {})
         far |= new - near.keys()
         for b, docs in zip(held, every, strict=True):
-            yield b, np.array([columns_of(words, near, landmarks) for words in docs]).reshape(len(docs), -1)
+            yield b, matrix_of(docs, near, landmarks)
         if len(far) + len(near) > HELD_WORDS:
             far, near = set(), {}
 
@@ -272,19 +290,29 @@ def choose_landmarks(rows: DataFrame, least: int = 3, most: int = LANDMARKS, poo
 
 def covering(where: dict[str, np.ndarray], clean: dict[str, int], least: int, most: int) -> list[str]:
     """Greedy cover: each round takes the string with most documents that are not covered twice, less half its clean ones, as long as nine in ten of its documents go along."""
-    places = {d: k for k, d in enumerate(sorted({int(d) for docs in where.values() for d in docs}))}
-    live = {g: np.array([places[int(d)] for d in docs]) for g, docs in where.items()}
-    every, covered, found = dict(live), np.zeros(len(places), np.int32), []
-    while live and len(found) < most:
-        gain = {g: int((covered[d] < 2).sum()) - clean.get(g, 0) // 2 for g, d in live.items()}
-        g = max(gain, key=lambda k: (gain[k], len(k), k))
-        if gain[g] < least:
+    if not where:
+        return []
+    names, found = sorted(where), []
+    flat = np.concatenate([where[g] for g in names])
+    starts = np.concatenate([[0], np.cumsum([len(where[g]) for g in names])])
+    places, flat = np.unique(flat, return_inverse=True)
+    sizes, half = np.diff(starts), np.array([clean.get(g, 0) // 2 for g in names])
+    covered, live = np.zeros(len(places), np.int32), np.ones(len(names), bool)
+    while live.any() and len(found) < most:
+        gain = np.where(live, np.add.reduceat(covered[flat] < 2, starts[:-1], dtype=np.int64) - half, np.iinfo(np.int64).min)
+        if gain.max() < least:
             break
-        wider = [h for h in live if g in h and len(every[h]) >= 0.9 * len(every[g])]
-        whole = max(wider, key=lambda h: (len(h), len(every[h]), h))
+        best = max(np.flatnonzero(gain == gain.max()), key=lambda k: (len(names[k]), names[k]))
+        g = names[best]
+        wider = [k for k in np.flatnonzero(live & (sizes >= 0.9 * sizes[best])) if g in names[k]]
+        whole = names[max(wider, key=lambda k: (len(names[k]), sizes[k], names[k]))]
         found.append(whole)
-        covered[every[g]] += 1
-        live = {h: d for h, d in live.items() if h not in whole and h != g and gain[h] >= least}
+        covered[flat[starts[best] : starts[best + 1]]] += 1
+        live &= gain >= least
+        live[best] = False
+        for k in np.flatnonzero(live):
+            if names[k] in whole:
+                live[k] = False
     return found
 
 

@@ -191,8 +191,7 @@ def test_nystrom_features_equal_the_exact_kernel():
     """Documents whose words are landmarks lie in the span of the landmarks, where the map is exact."""
     marks = toxicity.Landmarks(["idiot", "moron", "worth", "toxins"], ridge=1e-9)
     docs = [{"idiot", "worth"}, {"moron"}, {"toxins", "idiot", "moron"}, {"worth"}]
-    near = {w: [(k, float(toxicity.kernel(marks._codes([w]), marks.codes[k])[0] / marks.own[k])) for k in range(4)] for w in marks.strings}
-    got = np.array([toxicity.columns_of(d, near, marks) for d in docs]) @ marks.white
+    got = toxicity.matrix_of(docs, marks.columns(marks.strings), marks) @ marks.white
     one = lambda a, b: word_kernel(a, b) / marks.scale**2
     exact = np.array([[sum(sum(one(a, b) ** p for p in toxicity.POWERS) for a in x for b in y) for y in docs] for x in docs])
     # Each power's kernel is scaled by the landmarks' own; the map is of that scaled kernel.
