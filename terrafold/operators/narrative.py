@@ -359,7 +359,9 @@ def phrase_of(labels: list[dict]) -> str | None:
     if how != verb:
         return f"{verb} in {text}, and {how} in {_together(also)}"
     if top["share"] - seconds[0]["share"] > 0.10:
-        verb = _often(total + sum(x["share"] for x in also)) or verb
+        for x in also:  # one by one from the largest on, as SQL adds them: shares of a whole may miss 1 by a last bit
+            total += x["share"]
+        verb = _often(total) or verb
     return f"{verb} in {text}, as well as {_together(also)}"
 
 
